@@ -1 +1 @@
-
+"""Operators for building training data; nothing else in the package imports this subpackage."""
