@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.ledger import address, utc_day
 from ledgerweave.llm import components as cc
-from ledgerweave.llm import distinct, packing, topk
+from ledgerweave.llm import distinct, leaks, packing, topk
 from ledgerweave.sources.tables import TRANSFERS, table
 from ledgerweave.storage import store
 
@@ -56,6 +56,20 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "item_id", "n_tokens", CONTAINER).withColumnRenamed("item_id", "doc_id")
 
 
+def leaks_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leaks.find_leaks(documents, "doc_id", "text", items, "item_id", "text", ["court", "case_no"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks_found(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the longest run of the item's words and whether the passage is whole."""
+    return leaks_found(spark, sf_dir)
+
+
 QUERIES = {
     "p1_distinct": p1_distinct,
     "p3_found": p3_found,
@@ -63,6 +77,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p7_pack": p7_pack,
+    "p8_found": p8_found,
+    "p8_runs": p8_runs,
 }
 
 _X = f"SELECT right(lower(from_hex), 40) AS f, right(lower(to_hex), 40) AS t FROM {TRANSFERS}"
