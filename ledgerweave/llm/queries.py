@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.ledger import address, utc_day
 from ledgerweave.llm import components as cc
-from ledgerweave.llm import distinct, leaks, packing, topk
+from ledgerweave.llm import distinct, leaks, packing, subjects, topk
 from ledgerweave.sources.tables import TRANSFERS, table
 from ledgerweave.storage import store
 
@@ -70,6 +70,10 @@ def p8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_found(spark, sf_dir)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(*[table(spark, sf_dir, t) for t in ("documents", "doc_subject_labels", "subject_areas")])
+
+
 QUERIES = {
     "p1_distinct": p1_distinct,
     "p3_found": p3_found,
@@ -79,6 +83,7 @@ QUERIES = {
     "p7_pack": p7_pack,
     "p8_found": p8_found,
     "p8_runs": p8_runs,
+    "p9_found": p9_found,
 }
 
 _X = f"SELECT right(lower(from_hex), 40) AS f, right(lower(to_hex), 40) AS t FROM {TRANSFERS}"
