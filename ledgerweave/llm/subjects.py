@@ -78,6 +78,16 @@ def sentences(texts: list[str | None]) -> Sentences:
     return Sentences(ws.hash[keep], sentence[keep], doc, len(texts))
 
 
+def gathered(texts: list[str | None]) -> Sentences:
+    """``sentences`` of many texts, a slice at a time: only what is kept of each slice adds up."""
+    parts, n_sentences, n_docs = [], 0, 0
+    for i in range(0, len(texts), SLICE):
+        s = sentences(texts[i : i + SLICE])
+        parts.append((s.hash, s.sentence + n_sentences, s.doc + n_docs))
+        n_sentences, n_docs = n_sentences + len(s.doc), n_docs + s.n_docs
+    return Sentences(*[np.concatenate(x) for x in zip(*parts, strict=True)], n_docs)
+
+
 def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``h`` of known words, and their places in the sorted ``table``."""
     if not len(table) or not len(h):
@@ -194,7 +204,7 @@ def side_features(sources: list[str | None], langs: list[str | None]) -> np.ndar
 def fit(texts: list[str], sources: list, langs: list, y: np.ndarray, subjects: list[str]) -> Model:
     """Fit on texts with ``y`` (texts, subjects): the share of annotators who saw the subject."""
     k, n = len(subjects), len(texts)
-    s = sentences(texts)
+    s = gathered(texts)
     doc = s.doc[s.sentence]
     vocabulary, word = np.unique(s.hash, return_inverse=True)
     pair = np.unique(doc * np.int64(len(vocabulary) + 1) + word)
