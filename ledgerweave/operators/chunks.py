@@ -89,3 +89,21 @@ def running_total(df: DataFrame, keys: list[str], value: str, order: list[Column
         .withColumn("running", F.col("_lw_carry") + F.sum(v).over(inside))
         .drop("_lw_carry", CHUNK)
     )
+
+
+def latest_before(df: DataFrame, keys: list[str], values: list[str], order: list[Column], chunk_rows: int = 100_000) -> DataFrame:
+    """``df`` with ``<v>_before`` for each of ``values``: the largest value in earlier rows of the key.
+
+    Earlier is by ``order``. For a column that grows along the order this is the last one before; nulls
+    are passed over, so a column set only on some rows gives the last such row. Null where there is none.
+    The largest values of the chunks before are the boundary state that enters each chunk.
+    """
+    numbered = store(number_rows(df, keys, order).df.withColumn(CHUNK, F.floor(F.col(RANK) / chunk_rows)), "chunks")
+    tops = numbered.df.groupBy(*keys, CHUNK).agg(*[F.max(v).alias(f"_lw_top_{v}") for v in values])
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, CHUNK, *[F.max(f"_lw_top_{v}").over(earlier).alias(f"_lw_carry_{v}") for v in values])
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(RANK).rowsBetween(Window.unboundedPreceding, -1)
+    out = numbered.df.join(carried, [*keys, CHUNK])
+    for v in values:
+        out = out.withColumn(f"{v}_before", F.greatest(F.max(v).over(inside), F.col(f"_lw_carry_{v}")))
+    return out.drop(CHUNK, *[f"_lw_carry_{v}" for v in values])
