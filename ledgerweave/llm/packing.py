@@ -96,11 +96,11 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
     ``capacity`` is cut into pieces of ``capacity`` and a rest; every other item is one piece. Items of
     size null or <= 0 take no room and get one row with null bin. Equal items are packed one by one.
     """
-    n = F.col(size).cast("bigint")
-    cut = items.select(F.col(item_id).alias("item_id"), n.alias("n")).withColumn("last", F.greatest(F.lit(0), F.floor((F.coalesce("n", F.lit(0)) - 1) / capacity)))
+    n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
+    cut = items.select(F.col(item_id).alias("item_id"), n.alias("n")).withColumn("last", F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)))
     pieces = cut.select("item_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("piece_no"))
     start = F.col("piece_no") * capacity
-    pieces = pieces.select("item_id", F.col("piece_no").cast("int").alias("piece_no"), start.alias("start"), F.greatest(F.lit(0), F.coalesce(F.least(F.col("n") - start, F.lit(capacity)), F.lit(0))).cast("int").alias("size"))
+    pieces = pieces.select("item_id", F.col("piece_no").cast("int").alias("piece_no"), start.alias("start"), F.greatest(F.lit(0), F.least(F.col("n") - start, F.lit(capacity))).cast("int").alias("size"))
     written = store(pieces, "pieces").df
     # at most ``capacity`` rows reach the driver
     histogram = {r["size"]: r["count"] for r in written.filter("size > 0").groupBy("size").count().collect()}
