@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ledger import DAY_MS
-from ledgerweave.plans.base import ACT_SQL, ANCHOR_SQL, END_MS, FREEZE_SQL, LABEL_SQL, PAIR_SQL, T_SQL, activity, anchors, freezes, labels, money, pairs, query, r6, transfers, with_
+from ledgerweave.operators.chunks import RANK, running_total
+from ledgerweave.operators.passage import first_below
+from ledgerweave.plans.base import ACT_SQL, ANCHOR_SQL, END_MS, FREEZE_SQL, LABEL_SQL, PAIR_SQL, T_SQL, activity, anchors, freezes, labels, money, pairs, query, r6, stage, transfers, with_
 from ledgerweave.plans.events import CUT, SERIES_SQL, about, counterparties, series, summary_columns, summary_sql, wk
 
 HOUR_MS = 3_600_000
@@ -86,11 +88,19 @@ PATH_SQL = """pa AS MATERIALIZED (SELECT act.addr, ord, signed, published, cp, d
 
 
 def balance_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors' transfers, loops left out, with their place in time and the balance after each."""
-    a = about(activity(spark, sf_dir), anchors(spark, sf_dir)).filter("cp <> addr")
-    w = Window.partitionBy("addr").orderBy("ms", "tx", "li", "cp", "dir", "v")
-    signed_v = F.when(F.col("dir") == "in", F.col("v")).otherwise(-F.col("v"))
-    return a.withColumn("seq", F.row_number().over(w).cast("bigint")).withColumn("bal", F.sum(signed_v).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Anchors' transfers, loops left out, with their place in time and the balance after each.
+
+    Numbered and summed by chunks: an anchor with a third of all transfers is no single group.
+    """
+
+    def make() -> DataFrame:
+        a = about(activity(spark, sf_dir), anchors(spark, sf_dir)).filter("cp <> addr")
+        a = a.withColumn("delta", F.when(F.col("dir") == "in", F.col("v")).otherwise(-F.col("v")))
+        order = [F.col(c).asc_nulls_first() for c in ("ms", "tx", "li", "cp", "dir", "v")]
+        run = running_total(a, ["addr"], "delta", order)
+        return run.withColumn("seq", F.col(RANK) + 1).withColumnRenamed("running", "bal").drop(RANK, "delta")
+
+    return stage(spark, sf_dir, "balances", make)
 
 
 @query(with_(ACT_SQL, ANCHOR_SQL, PATH_SQL) + "SELECT addr, seq, ms, CAST(bal AS DOUBLE) AS balance FROM pa")
@@ -122,14 +132,9 @@ sd AS MATERIALIZED (SELECT addr, count(*) AS n_in, CAST(sum(v) AS DOUBLE) AS inf
 
 
 def sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How fast inflows leave: the first later time the balance is under a hundredth of what it was.
-
-    The search runs inside one address at a time, on a sorted array of its own path, in the JVM.
-    """
-    path = balance_path(spark, sf_dir)
-    later = path.select(F.col("addr").alias("x"), F.col("seq").alias("s"), F.col("ms").alias("hit_ms"), F.col("bal").alias("b"))
-    under = (F.col("x") == F.col("addr")) & (F.col("s") > F.col("seq")) & (F.col("b") < F.greatest(F.lit(1), F.col("bal") * F.lit(0.01).cast("decimal(3,2)")))
-    hits = path.filter("dir = 'in'").join(later, under, "left").groupBy("addr", "seq").agg(F.first("v").alias("v"), F.first("ms").alias("ms"), F.min("hit_ms").alias("hit"))
+    """How fast inflows leave: the first later time the balance is under a hundredth of what it was."""
+    path = balance_path(spark, sf_dir).withColumn("under", F.greatest(F.lit(1), F.col("bal") * F.lit(0.01).cast("decimal(3,2)")))
+    hits = first_below(path, "addr", "seq", "bal", "under", "ms").filter("dir = 'in'")
     gone = F.when(F.col("hit") - F.col("ms") <= 24 * HOUR_MS, F.col("v"))
     return hits.groupBy("addr").agg(
         F.count(F.lit(1)).alias("n_in"),

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.chunks import running_total
 from ledgerweave.plans.base import ANCHOR_SQL, PAIR_SQL, query, r6, stage, with_
 from ledgerweave.plans.events import hash8, hash8_sql
 from ledgerweave.plans.networks import DEG_SQL, _spread_sql, graph_degrees, hops, pairs, reach
@@ -23,12 +24,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_ranks(values: DataFrame, keys: list[str], score: str) -> DataFrame:
     """(keys, score, n, pos, rank): the average rank of each distinct score, from counts per score.
 
-    ``values`` has keys, score, n (rows) and pos (positives). Only distinct scores are ranked, cumulated
-    per coarse range first, so that no task sorts all rows.
+    ``values`` has keys, score, n (rows) and pos (positives). The counts are cumulated in order of the
+    score by chunks, so that no task has to hold or sort all scores of a key.
     """
     per = values.groupBy(*keys, score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2.0)
+    run = running_total(per, keys, "n", [F.col(score)])
+    return run.select(*keys, score, "n", "pos", (F.col("running") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def auc_of(ranked: DataFrame, keys: list[str]) -> DataFrame:

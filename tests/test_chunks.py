@@ -44,3 +44,16 @@ def test_running_total_and_latest_before(spark, rows):
         before = [(b, c) for a, b, c in rows if a == k and b < t]
         assert run[k, t] == sum(c or 0 for a, b, c in rows if a == k and b <= t)
         assert last[k, t] == (max((b for b, _ in before), default=None), max((c for _, c in before if c is not None), default=None))
+
+
+def test_first_below_equals_looking_ahead(spark):
+    import random
+
+    from ledgerweave.operators.passage import first_below
+
+    rng = random.Random(12)
+    rows = [(k, i + 1, rng.randint(0, 30), rng.randint(-2, 12), i * 10) for k in "ab" for i in range(60 if k == "a" else 5)]
+    df = spark.createDataFrame(rows, "k string, seq long, v long, lvl long, t long")
+    got = {(r["k"], r["seq"]): r["hit"] for r in first_below(df, "k", "seq", "v", "lvl", "t", 7).collect()}
+    for k, i, _, lvl, _ in rows:
+        assert got[k, i] == min((t for a, j, v, _, t in rows if a == k and j > i and v < lvl), default=None)
