@@ -91,5 +91,8 @@ _X = f"SELECT right(lower(from_hex), 40) AS f, right(lower(to_hex), 40) AS t FRO
 ORACLES = {
     "p3_found": f"WITH x AS ({_X}) SELECT t AS to_hex FROM x WHERE t IS NOT NULL GROUP BY 1 HAVING count(*) * 200 >= (SELECT count(*) FROM x)",
     "p3_top": f"WITH x AS ({_X}) SELECT t AS to_hex, count(*) AS n_rows FROM x WHERE t IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
+    "p4_found": f"""WITH RECURSIVE x AS ({_X}), e AS MATERIALIZED (SELECT f AS a, t AS b FROM x WHERE f IS NOT NULL AND t IS NOT NULL UNION SELECT t, f FROM x WHERE f IS NOT NULL AND t IS NOT NULL),
+      n AS (SELECT DISTINCT a FROM e), cc(addr_hex, grp) USING KEY (addr_hex) AS (SELECT a, a FROM n UNION SELECT r.addr_hex, min(c.grp) FROM cc c JOIN e ON c.addr_hex = e.a JOIN recurring.cc r ON r.addr_hex = e.b WHERE c.grp < r.grp GROUP BY 1)
+      SELECT addr_hex, grp FROM cc""",
     "p7_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) > 1024",
 }
