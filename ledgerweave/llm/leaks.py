@@ -6,7 +6,7 @@ equal length, which puts every compared pair into one size class, where containm
 the same thing. Items are partitioned by length; each class has its own window (six words, shorter ones
 for items of fewer than twelve words) and its own index of banded MinHash signatures. A window with one
 word in six misread still agrees in a band with high probability, and a run of twelve words has seven
-windows. Windows that agree are compared word by word in place, and the items with enough of them are
+windows. Windows that agree are compared word by word in place, and every item with one of them is
 verified exactly against the whole text: the passage is followed word by word from the window in both
 directions, over single-letter slips, split and joined words, page headers and paragraph numbers.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.words import BLACK_HASH, Words, _mix, normal, words
+from ledgerweave.llm.words import Words, _mix, normal, words
 
 ITEM_BLOCK = 20_000
 RUN = 12  # successive words that make a leak
@@ -250,8 +250,6 @@ class Finder:
     def find(self, texts: list[str | None], headers: list[str]) -> list[tuple[int, int, int, bool]]:
         """(text, item id, longest run, whole) of every leak in ``texts``."""
         ws, out = words(texts), []
-        black = np.zeros(len(texts), bool)
-        black[ws.doc[ws.hash == BLACK_HASH]] = True
         for index in self.indexes:
             p, q = index.hits(ws)
             if not len(p):
@@ -263,8 +261,6 @@ class Finder:
             spelled: dict[int, tuple[list[str], set[str]]] = {}
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 d, k = int(doc[order[a]]), int(item[order[a]])
-                if b - a < 2 and index.w == 6 and not black[d]:
-                    continue
                 if d not in spelled:
                     head = {normal(x) for x in re.split(r"\s+", headers[d])} | {normal(x) for x in re.split(r"[^\w]+", headers[d])}
                     spelled[d] = [ws.text(i) for i in range(ws.first[d], ws.first[d + 1])], (head - {""}) | _HEADER_WORDS
