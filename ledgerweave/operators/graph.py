@@ -96,3 +96,28 @@ def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, every: int = 5)
         if (k + 1) % every == 0:
             r = store(r, "rank").df
     return r.select("node", "r")
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame, depth: int) -> DataFrame:
+    """(node, score): shortest-path dependencies on each node, summed over ``pivots``.
+
+    ``edges`` (src, dst) count in both directions. Paths are followed from the pivots level by level up to
+    ``depth`` with their numbers, then the dependencies are handed back from the last level to the first.
+    Every level is written, so that the way back reads what the way out found.
+    """
+    ways = store(edges.filter("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "ways").df
+    levels = [store(pivots.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")), "level").df]
+    seen = levels[0].select("pivot", "node")
+    for _ in range(depth):
+        step = levels[-1].join(ways, F.col("node") == F.col("a")).groupBy("pivot", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+        levels.append(store(step.join(seen, ["pivot", "node"], "left_anti"), "level").df)
+        seen = seen.unionByName(levels[-1].select("pivot", "node"))
+    below, out = levels[-1].withColumn("share", F.lit(0.0)), None
+    for upper in reversed(levels[:-1]):
+        back = below.select("pivot", F.col("node").alias("b"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+        got = back.join(ways, "b").select("pivot", F.col("a").alias("node"), "part").join(upper, ["pivot", "node"])
+        share = got.groupBy("pivot", "node").agg(F.sum(F.col("part") * F.col("paths")).alias("share"))
+        below = store(upper.join(share, ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "back").df
+        term = below.filter("node <> pivot").select("node", "share")
+        out = term if out is None else out.unionByName(term)
+    return out.groupBy("node").agg(F.sum("share").alias("score"))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ledger import DAY_MS, address, usable_amount
+from ledgerweave.operators.factors import factorise
+from ledgerweave.operators.graph import betweenness
 from ledgerweave.plans.base import ACT_SQL, ANCHOR_SQL, END_MS, T_SQL, W, WEEK_MS, activity, anchors, money, query, r6, stage, transfers, with_
 from ledgerweave.plans.custody import _DAY_SQL, BUSY_SQL, appeal
 from ledgerweave.plans.events import A_SQL, about, anchored, hash8, hash8_sql, hop1, timing
+from ledgerweave.plans.features import structural
 from ledgerweave.plans.labelling import CAT_SQL, NEGATIVE, _list, categories
 from ledgerweave.plans.networks import DEG_SQL, PAIR_SQL, graph_degrees, pairs
 from ledgerweave.plans.scoring import _BASE, K, _auc_sql, auc_of, mean_ranks, q_cascade_mc, q_sinkhorn, role, role_sql, scored
@@ -180,3 +183,21 @@ def q_volume_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query()(q_volume_matched)
+
+
+def q_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies on shortest paths of up to four steps from sixteen pivots, in hash order."""
+    pivots = graph_degrees(spark, sf_dir).orderBy(hash8(F.lit("pivot"), "addr"), "addr").limit(16).select(F.col("addr").alias("node"))
+    b = betweenness(pairs(spark, sf_dir).select("src", "dst"), pivots, 4)
+    return b.select(F.col("node").alias("addr"), r6(F.col("score")).alias("score"))
+
+
+def q_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles by non-negative factors of the structural features: the factor with the largest weight."""
+    w, _ = factorise(structural(spark, sf_dir), "addr", ["log_in", "log_out", "log_in_val", "log_out_val"], 3, 12)
+    top = F.greatest("w0", "w1", "w2")
+    return w.select("addr", F.when(F.col("w0") == top, 0).when(F.col("w1") == top, 1).otherwise(2).alias("role"))
+
+
+query()(q_betweenness)
+query()(q_nmf)

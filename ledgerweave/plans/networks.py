@@ -315,7 +315,7 @@ def q_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.crossJoin(F.broadcast(c.agg(F.max("c").alias("top")))).select(F.col("node").alias("addr"), r6(F.col("c") / F.col("top")).alias("score"))
 
 
-@query(f"WITH {PAIR_SQL}, {_spread_sql(15)}, s AS (SELECT k, sum(v) AS total, max(v) AS top FROM xs GROUP BY 1) SELECT k, round(total, 4) AS total, round(top, 6) AS top, round(total / lag(total) OVER (ORDER BY k), 6) AS growth FROM s")
+@query(f"WITH {PAIR_SQL}, {_spread_sql(15)}, s AS (SELECT k, sum(v) AS total, max(v) AS top FROM xs GROUP BY 1) SELECT k::BIGINT AS k, round(total, 4) AS total, round(top, 6) AS top, round(total / lag(total) OVER (ORDER BY k), 6) AS growth FROM s")
 def q_term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spread(weighted(spark, sf_dir), ones(spark, sf_dir), 15).groupBy("k").agg(F.sum("x").alias("total"), F.max("x").alias("top"))
     return s.select("k", F.round("total", 4).alias("total"), r6(F.col("top")).alias("top"), r6(F.col("total") / F.lag("total").over(Window.orderBy("k"))).alias("growth"))

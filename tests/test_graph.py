@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.graph import pagerank, peel, spread, weak_components
+from ledgerweave.operators.graph import betweenness, pagerank, peel, spread, weak_components
 
 
 def groups(pairs):
@@ -52,3 +52,32 @@ def test_spread_is_linear_in_damping_per_step(spark):
 def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c")], "src string, dst string")
     assert abs(pagerank(df, 6).agg(F.sum("r")).first()[0] - 1) < 1e-9
+
+
+def test_betweenness_of_a_path_and_a_square(spark):
+    path = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    pivots = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "node string")
+    got = {r["node"]: r["score"] for r in betweenness(path, pivots, 4).collect() if r["score"]}
+    assert got == {"b": 4.0, "c": 4.0}
+    square = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")], "src string, dst string")
+    assert {r["score"] for r in betweenness(square, pivots, 4).collect()} == {1.0}
+
+
+def test_factors_equal_the_updates_in_memory(spark):
+    import numpy as np
+
+    from ledgerweave.operators.factors import factorise
+
+    rows = [(i, float(i % 5), 2.0 * (i % 5), 1.0 if i % 2 else 0.0, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    read = lambda w: np.array([[r["w0"], r["w1"]] for r in w.orderBy("id").collect()])
+    x = np.array([[v or 0.0 for v in r[1:]] for r in rows])
+    w0, h0 = factorise(df, "id", ["a", "b", "c", "d"], 2, 0)
+    w, h = read(w0), h0.copy()
+    before = np.square(w @ h - x).sum()
+    for _ in range(6):
+        h = h * (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
+        w = w * (x @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+    w1, h1 = factorise(df, "id", ["a", "b", "c", "d"], 2, 6)
+    assert np.allclose(read(w1), w) and np.allclose(h1, h)
+    assert np.square(w @ h - x).sum() < before / 10
