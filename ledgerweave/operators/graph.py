@@ -78,6 +78,37 @@ def spread(edges: DataFrame, start: DataFrame, steps: int, damping: float = 1.0,
     return out
 
 
+def reached_by(edges: DataFrame, block: int = 50_000) -> DataFrame:
+    """(node, n): how many other nodes have a path to each node that any has one to.
+
+    ``edges`` has u, v. Every node with an edge is a source; the sources go in blocks of about ``block``, each
+    followed level by level until no new node turns up. The levels are written, and deleted with their block.
+    """
+    e = store(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    sources = e.df.select("u").distinct().count()
+    blocks = sources // block + 1
+    counts = []
+    for k in range(blocks):
+        mine = e.df.filter(F.pmod(F.xxhash64("u"), F.lit(blocks)) == k)
+        levels = [store(mine.select(F.col("u").alias("source"), F.col("v").alias("node")), "reached")]
+        while not levels[-1].df.isEmpty():
+            seen = levels[0].df
+            for level in levels[1:]:
+                seen = seen.unionByName(level.df)
+            step = levels[-1].df.join(e.df, F.col("node") == F.col("u")).select("source", F.col("v").alias("node")).filter("source <> node").distinct()
+            levels.append(store(step.join(seen, ["source", "node"], "left_anti"), "reached"))
+        seen = levels[0].df
+        for level in levels[1:]:
+            seen = seen.unionByName(level.df)
+        counts.append(store(seen.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "reached").df)
+        for level in levels:
+            level.drop()
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, every: int = 5) -> DataFrame:
     """(node, r) after ``rounds`` rounds from the uniform vector, dangling mass spread evenly."""
     nodes = store(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes").df

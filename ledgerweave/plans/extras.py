@@ -68,11 +68,11 @@ def q_verified_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_mc_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of expected reach and simulated coverage over the addresses that were reached."""
-    c = q_cascade_mc(spark, sf_dir).join(scored(spark, sf_dir), "addr").select("coverage", "score", F.lit(1).alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("g"))
-    a = mean_ranks(c, ["g"], "coverage").select("coverage", F.col("rank").alias("ra"))
+    """Rank correlation of expected reach and simulated coverage over all addresses."""
+    c = q_cascade_mc(spark, sf_dir).join(scored(spark, sf_dir), "addr").select("hits", "score", F.lit(1).alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("g"))
+    a = mean_ranks(c, ["g"], "hits").select("hits", F.col("rank").alias("ra"))
     b = mean_ranks(c, ["g"], "score").select("score", F.col("rank").alias("rb"))
-    return c.join(a, "coverage").join(b, "score").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("ra", "rb")).alias("spearman"))
+    return c.join(a, "hits").join(b, "score").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("ra", "rb")).alias("spearman"))
 
 
 query()(q_mc_agreement)

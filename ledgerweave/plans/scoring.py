@@ -4,10 +4,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.chunks import running_total
+from ledgerweave.operators.graph import reached_by
 from ledgerweave.plans.base import ANCHOR_SQL, PAIR_SQL, query, r6, stage, with_
 from ledgerweave.plans.events import hash8, hash8_sql
 from ledgerweave.plans.networks import DEG_SQL, _spread_sql, graph_degrees, hops, pairs, reach
 from ledgerweave.sources.tables import table
+from ledgerweave.storage import store
 
 REACH_SQL = f"{_spread_sql(15)}, cc0 AS (SELECT x, sum(v) AS c FROM xs GROUP BY 1), sc AS MATERIALIZED (SELECT dg.addr, own AS y, degree, in_deg, out_deg, round(coalesce(c / (SELECT max(c) FROM cc0), 0), 6) AS score FROM dg LEFT JOIN cc0 ON cc0.x = dg.addr)"
 
@@ -272,19 +274,26 @@ CASCADE_SOURCES, CASCADE_DRAWS, CASCADE_STEPS = 64, 3, 6
   re(draw, source, node, step) AS (SELECT draw, addr, addr, 0 FROM so CROSS JOIN dr UNION SELECT re.draw, source, dst, step + 1 FROM re JOIN lv ON lv.draw = re.draw AND lv.src = re.node WHERE step < {CASCADE_STEPS})
   SELECT node AS addr, count(DISTINCT (draw, source)) AS hits, round(count(DISTINCT (draw, source)) / {CASCADE_SOURCES * CASCADE_DRAWS}, 8) AS coverage FROM re WHERE step > 0 AND node <> source GROUP BY 1""")
 def q_cascade_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent cascades as reachability over edges that a hashed coin keeps alive, from 64 sources."""
+    """Independent cascades as reachability over edges that a hashed coin keeps alive, from every address, without a
+    limit of steps; an address that no other one reaches has no hits. The SQL follows 64 sources over six steps.
+    """
     w = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.log1p(F.col("w").cast("double")) * 0.1 / F.log1p(F.lit(1e8))))
     draws = F.broadcast(spark.range(CASCADE_DRAWS).withColumnRenamed("id", "draw"))
     live = pairs(spark, sf_dir).select("src", "dst", w.alias("p")).crossJoin(draws).filter(hash8(F.lit("live"), "draw", "src", "dst") < F.col("p") * 4294967296).select("draw", F.col("src").alias("node"), "dst")
     live = stage(spark, sf_dir, "live", lambda: live)
-    source = graph_degrees(spark, sf_dir).orderBy(hash8(F.lit("source"), "addr"), "addr").limit(CASCADE_SOURCES).select(F.col("addr").alias("source"))
-    front = source.crossJoin(draws).select("draw", "source", F.col("source").alias("node"))
-    seen = front
-    for _ in range(CASCADE_STEPS):
-        step = front.join(live, ["draw", "node"]).select("draw", "source", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["draw", "source", "node"], "left_anti")
-        seen = seen.unionByName(front)
-    return seen.filter("node <> source").groupBy(F.col("node").alias("addr")).agg(F.count(F.lit(1)).alias("hits")).withColumn("coverage", F.round(F.col("hits") / (CASCADE_SOURCES * CASCADE_DRAWS), 8))
+    hits = stage(spark, sf_dir, "hits", lambda: cascade_hits(live))
+    nodes = graph_degrees(spark, sf_dir).select("addr")
+    return nodes.join(hits, "addr", "left").select("addr", F.coalesce("hits", F.lit(0)).alias("hits")).withColumn("coverage", F.col("hits") / (nodes.count() * CASCADE_DRAWS))
+
+
+def cascade_hits(live: DataFrame) -> DataFrame:
+    """(addr, hits): from how many other addresses each is reached over live edges (draw, node, dst), summed over draws.
+
+    The draws are disjoint parts of one graph, whose nodes are numbered to keep the rows short.
+    """
+    ids = store(live.select("draw", F.explode(F.array("node", "dst")).alias("addr")).distinct().withColumn("id", F.monotonically_increasing_id()), "ids").df
+    e = live.join(ids.select("draw", F.col("addr").alias("node"), F.col("id").alias("u")), ["draw", "node"]).join(ids.select("draw", F.col("addr").alias("dst"), F.col("id").alias("v")), ["draw", "dst"])
+    return reached_by(e).join(ids, F.col("node") == F.col("id")).groupBy("addr").agg(F.sum("n").alias("hits"))
 
 
 query()(q_kmeans)
