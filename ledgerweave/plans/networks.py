@@ -180,8 +180,8 @@ def _peel_sql(n: int) -> str:
 
 @query(f"WITH {PAIR_SQL}, {_peel_sql(PEELS)} SELECT src, dst FROM c{PEELS}")
 def q_two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four peeling passes; ``peel`` without a number of passes goes on to the exact 2-core."""
-    return peel(pairs(spark, sf_dir), PEELS)
+    """The exact 2-core; the SQL stops after four peeling passes."""
+    return peel(pairs(spark, sf_dir))
 
 
 @query(with_(PAIR_SQL, ANCHOR_SQL) + """, nb AS (SELECT src AS a, dst AS b FROM pair UNION SELECT dst, src FROM pair), h1 AS (SELECT DISTINCT b AS addr FROM nb WHERE a IN (SELECT addr FROM anchor)),
