@@ -34,6 +34,9 @@ MAX_HEADER = 16
 MAX_BLACK = 12
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _HEADER_WORDS = {"page", "p", "pp", "seite", "s", "rn", "rdn", "no", "nr", "para", "abs", "blatt", "sheet", "fol"}
+_CASE = r"(\d+)[\s.-]*([^\W\d_]{1,4})[\s.-]*(\d+)\s*/\s*(\d+)"
+_HEADING = re.compile(rf"\W*((?:[^\W\d_]+[^\w\n]+){{1,8}}?){_CASE}")
+_PAGE = re.compile(rf"\b(?:page|pp?|seite|s|blatt|sheet|fol)\b[.\s]*\d{{1,4}}\b\W*((?:[^\W\d_]+\W+){{0,8}}?){_CASE}", re.IGNORECASE)
 _SAME = str.maketrans({"1": "l", "0": "o", "5": "s", "i": "l"})
 
 
@@ -233,6 +236,23 @@ def longest(doc: list[str], at: int, item: list[str], q: int, header: set[str])
     return best, whole
 
 
+def header_words(columns: str, text: str) -> set[str]:
+    """Words that may stand in page headers: those of the columns, and of the text's own heading and page headers.
+
+    A case number counts in every spelling, with and without spaces and hyphens between its parts.
+    """
+    out = {normal(x) for x in re.split(r"\s+", columns)} | {normal(x) for x in re.split(r"[^\w]+", columns)}
+    cases = re.findall(_CASE, columns)
+    found = [m for m in (_HEADING.match(text), *_PAGE.finditer(text)) if m]
+    for m in found:
+        out |= {normal(x) for x in m.group(1).split()}
+        cases.append(m.groups()[1:])
+    for parts in cases:
+        chamber, register, number, year = map(normal, parts)
+        out |= {chamber, register, number + year, chamber + register, register + number + year, chamber + register + number + year, number, year}
+    return (out - {""}) | _HEADER_WORDS
+
+
 class Finder:
     """Items of one block, ready to be looked for in batches of texts."""
 
@@ -262,8 +282,7 @@ class Finder:
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 d, k = int(doc[order[a]]), int(item[order[a]])
                 if d not in spelled:
-                    head = {normal(x) for x in re.split(r"\s+", headers[d])} | {normal(x) for x in re.split(r"[^\w]+", headers[d])}
-                    spelled[d] = [ws.text(i) for i in range(ws.first[d], ws.first[d + 1])], (head - {""}) | _HEADER_WORDS
+                    spelled[d] = [ws.text(i) for i in range(ws.first[d], ws.first[d + 1])], header_words(headers[d], texts[d] or "")
                 text, header = spelled[d]
                 best, whole, tried = 0, False, set()
                 for x in order[a:b]:
