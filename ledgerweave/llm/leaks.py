@@ -186,12 +186,16 @@ def _step(doc: list[str], i: int, item: list[str], j: int, joined) -> tuple[int,
     return None
 
 
-def _follow(doc: list[str], i: int, item: list[str], j: int, header: set[str], joined) -> list[tuple[int, bool]]:
-    """(item word, whether it was read and not blacked out) from (i, j) on, as far as the text follows."""
+def _follow(doc: list[str], i: int, item: list[str], j: int, header: set[str], joined, steps: list[tuple[int, int]]) -> list[tuple[int, bool]]:
+    """(item word, whether it was read and not blacked out) from (i, j) on, as far as the text follows.
+
+    ``steps`` takes the places in the text and in the item that were gone through.
+    """
     out: list[tuple[int, bool]] = []
     while i < len(doc) and j < len(item):
         if step := _step(doc, i, item, j, joined):
             out += [(j + k, True) for k in range(step[1])]
+            steps.append((i, j))
             i, j = i + step[0], j + step[1]
             continue
         if doc[i] == "█":
@@ -222,10 +226,15 @@ def _follow(doc: list[str], i: int, item: list[str], j: int, header: set[str], j
     return out
 
 
-def longest(doc: list[str], at: int, item: list[str], q: int, header: set[str]) -> tuple[int, bool]:
-    """(longest run of successive words, whether all words are there) of the item around (at, q)."""
-    forth = _follow(doc, at, item, q, header, lambda a, b: a + b)
-    back = _follow(doc[:at][::-1], 0, item[:q][::-1], 0, header, lambda a, b: b + a)
+def longest(doc: list[str], at: int, item: list[str], q: int, header: set[str], passed: set[tuple[int, int]]) -> tuple[int, bool]:
+    """(longest run of successive words, whether all words are there) of the item around (at, q).
+
+    The places that the path goes through are added to ``passed``.
+    """
+    ahead, behind = [], []
+    forth = _follow(doc, at, item, q, header, lambda a, b: a + b, ahead)
+    back = _follow(doc[:at][::-1], 0, item[:q][::-1], 0, header, lambda a, b: b + a, behind)
+    passed.update(ahead, ((at - 1 - i, q - 1 - j) for i, j in behind))
     path = [(q - 1 - j, read) for j, read in reversed(back)] + forth
     best = run = 0
     for _, read in path:
@@ -284,14 +293,13 @@ class Finder:
                 if d not in spelled:
                     spelled[d] = [ws.text(i) for i in range(ws.first[d], ws.first[d + 1])], header_words(headers[d], texts[d] or "")
                 text, header = spelled[d]
-                best, whole, tried = 0, False, set()
+                best, whole, passed = 0, False, set()
                 for x in order[a:b]:
                     at, off = int(p[x] - ws.first[d]), int(index.offset[q[x]])
-                    if (at - off) in tried:
-                        continue
-                    tried.add(at - off)
                     for shift in (0, index.w - 1) if index.w > 1 else (0,):  # a slip may sit on the first word
-                        n, w = longest(text, at + shift, self.words[k], off + shift, header)
+                        if (at + shift, off + shift) in passed:  # on a path already followed
+                            continue
+                        n, w = longest(text, at + shift, self.words[k], off + shift, header, passed)
                         best, whole = max(best, n), whole or w
                 if best >= RUN or whole:
                     out.append((d, self.ids[k], best, whole))

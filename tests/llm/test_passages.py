@@ -22,3 +22,10 @@ def test_a_page_header_is_known_from_the_text(columns, heading):
 def test_words_of_the_body_are_no_header():
     text = f"Labour Court Oliham \u2014 1 U 3373/08\n\n{' '.join(ITEM[:10])} the claim was dismissed {' '.join(ITEM[10:20])} four."
     assert find(text, "Labour Court Oliham") == []
+
+
+@pytest.mark.parametrize(("kept", "run"), [(8, 21), (17, 17), (15, 15)])
+def test_a_changed_word_does_not_hide_what_follows_it(kept, run):
+    text = " ".join(["before", *ITEM[:kept], "quite", *ITEM[kept + 1 :], "after"])
+    assert find(text) == [(0, 7, run, False)]
+    assert find(" ".join(["before", *ITEM[:8], "quite", *ITEM[9:15], "again", *ITEM[16:], "after"])) == [(0, 7, 14, False)]
