@@ -109,24 +109,80 @@ def reached_by(edges: DataFrame, block: int = 50_000) -> DataFrame:
     return out.groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, every: int = 5) -> DataFrame:
-    """(node, r) after ``rounds`` rounds from the uniform vector, dangling mass spread evenly."""
-    nodes = store(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes").df
-    n = nodes.count()
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) and (u, v, weight): ``edges`` (src, dst, weight) with their ends numbered, to keep the rows short."""
+    ids = store(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()), "ids").df
+    e = edges.join(ids.select(F.col("node").alias("src"), F.col("id").alias("u")), "src").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("v")), "dst")
+    return ids, store(e.select("u", "v", "weight"), "edges").df
+
+
+def _walk(e: DataFrame, x: DataFrame, scale: float = 1.0) -> DataFrame:
+    return e.join(x, F.col("u") == F.col("id")).groupBy(F.col("v").alias("id")).agg((F.sum(F.col("weight") * F.col("x")) * scale).alias("x"))
+
+
+def spectral_radius(edges: DataFrame, rounds: int = 200, every: int = 5) -> float:
+    """Growth of the norm in one more step after ``rounds`` steps of the power method, from ones.
+
+    Lineage is cut and the vector scaled every few steps, so that it neither vanishes nor overflows.
+    """
+    ids, e = _numbered(edges)
+    x, scale, old = ids.select("id", F.lit(1.0).alias("x")), 1.0, None
+    for k in range(1, rounds + 2):
+        x = _walk(e, x, scale)
+        scale = 1.0
+        if k % every == 0 or k >= rounds:
+            now = store(x, "power")
+            norm = now.df.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+            if old:
+                old.drop()
+            if not norm or k > rounds:
+                now.drop()
+                return norm or 0.0
+            x, old, scale = now.df, now, 1.0 / norm
+    return 0.0
+
+
+def walk_sum(edges: DataFrame, steps: int, damping: float, every: int = 5) -> DataFrame:
+    """(node, c): the terms of ``spread`` from ones, summed; the terms are added up and deleted every few steps."""
+    ids, e = _numbered(edges)
+    x, total, terms = ids.select("id", F.lit(1.0).alias("x")), None, []
+    for k in range(1, steps + 1):
+        terms.append(store(_walk(e, x, damping), "term"))
+        x = terms[-1].df
+        if k % every == 0 or k == steps:
+            rows = total.df if total else None
+            # the first term of a later block is the last one of the block before, which is counted already
+            for term in terms[1:] if total else terms:
+                rows = term.df if rows is None else rows.unionByName(term.df)
+            after = store(rows.groupBy("id").agg(F.sum("x").alias("x")), "terms")
+            for old in [*terms[:-1], *([total] if total else [])]:
+                old.drop()
+            total, terms = after, terms[-1:]
+    return total.df.join(ids, "id").select("node", F.col("x").alias("c"))
+
+
+def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, tol: float = 1e-10) -> DataFrame:
+    """(node, r) from the uniform vector, dangling mass spread evenly, after at most ``rounds`` rounds.
+
+    It ends when the ranks change by less than ``tol`` in sum. Each round is written.
+    """
+    out = pairs.groupBy("src").agg((1 / F.count(F.lit(1))).alias("weight"))
+    ids, edges = _numbered(pairs.select("src", "dst").join(out, "src"))
+    n = ids.count()
     if not n:
-        return nodes.withColumn("r", F.lit(0.0))
-    out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    edges = store(pairs.select("src", "dst").join(out, "src"), "edges").df
-    base = store(nodes.join(out.withColumnRenamed("src", "node"), "node", "left"), "nodes").df
-    r = base.select("node", "d", F.lit(1.0 / n).alias("r"))
-    for k in range(rounds):
-        got = edges.join(r.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("d")).alias("got"))
-        loose = r.agg(F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("r"))), F.lit(0.0)).alias("loose"))
-        r = base.join(got, "node", "left").crossJoin(F.broadcast(loose))
-        r = r.select("node", "d", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n).alias("r"))
-        if (k + 1) % every == 0:
-            r = store(r, "rank").df
-    return r.select("node", "r")
+        return ids.select("node", F.lit(0.0).alias("r"))
+    loose = ids.select("id").join(edges.select(F.col("u").alias("id")).distinct(), "id", "left_anti").withColumn("loose", F.lit(True))
+    now = store(ids.select("id").join(loose, "id", "left").select("id", F.coalesce("loose", F.lit(False)).alias("loose"), F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("change")), "rank")
+    for _ in range(rounds):
+        lost = now.df.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("r"))), F.lit(0.0))).first()[0]
+        got = _walk(edges, now.df.select("id", F.col("r").alias("x")))
+        r = alpha * (F.coalesce("x", F.lit(0.0)) + lost / n) + (1 - alpha) / n
+        after = store(now.df.join(got, "id", "left").select("id", "loose", r.alias("r"), F.abs(r - F.col("r")).alias("change")), "rank")
+        now.drop()
+        now = after
+        if now.df.agg(F.sum("change")).first()[0] < tol:
+            break
+    return now.df.join(ids, "id").select("node", "r")
 
 
 def betweenness(edges: DataFrame, pivots: DataFrame, depth: int) -> DataFrame:
