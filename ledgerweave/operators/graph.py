@@ -185,26 +185,46 @@ def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, tol: float = 1e
     return now.df.join(ids, "id").select("node", "r")
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, depth: int) -> DataFrame:
-    """(node, score): shortest-path dependencies on each node, summed over ``pivots``.
+def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, rows: int = 20_000_000) -> DataFrame:
+    """(node, score): shortest-path dependencies on each node that is reached, summed over ``pivots``.
 
-    ``edges`` (src, dst) count in both directions. Paths are followed from the pivots level by level up to
-    ``depth`` with their numbers, then the dependencies are handed back from the last level to the first.
-    Every level is written, so that the way back reads what the way out found.
+    ``edges`` (src, dst) count in both directions. Paths are followed from the pivots level by level until no new node
+    turns up, or up to ``depth``, with their numbers, then the dependencies are handed back from the last level to the
+    first. Every level is written, so that the way back reads what the way out found. The pivots, which are few, go in
+    blocks of about ``rows`` pairs of pivot and node, whose levels are deleted with their block.
     """
-    ways = store(edges.filter("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.a", "e.b").distinct(), "ways").df
-    levels = [store(pivots.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")), "level").df]
-    seen = levels[0].select("pivot", "node")
-    for _ in range(depth):
-        step = levels[-1].join(ways, F.col("node") == F.col("a")).groupBy("pivot", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
-        levels.append(store(step.join(seen, ["pivot", "node"], "left_anti"), "level").df)
-        seen = seen.unionByName(levels[-1].select("pivot", "node"))
-    below, out = levels[-1].withColumn("share", F.lit(0.0)), None
-    for upper in reversed(levels[:-1]):
-        back = below.select("pivot", F.col("node").alias("b"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
-        got = back.join(ways, "b").select("pivot", F.col("a").alias("node"), "part").join(upper, ["pivot", "node"])
-        share = got.groupBy("pivot", "node").agg(F.sum(F.col("part") * F.col("paths")).alias("share"))
-        below = store(upper.join(share, ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "back").df
-        term = below.filter("node <> pivot").select("node", "share")
-        out = term if out is None else out.unionByName(term)
-    return out.groupBy("node").agg(F.sum("share").alias("score"))
+    ids, e = _numbered(edges.filter("src <> dst").select("src", "dst", F.lit(1.0).alias("weight")))
+    ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    ways = store(e.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct(), "ways").df
+    start = sorted(r["id"] for r in pivots.join(ids, "node").select("id").distinct().collect())
+    block, sums = max(1, rows // max(1, ids.count())), []
+    for k in range(0, max(1, len(start)), block):
+        first = edges.sparkSession.createDataFrame([(i, i, 1.0) for i in start[k : k + block]], "pivot long, node long, paths double")
+        written = [store(first, "level")]
+        while depth is None or len(written) <= depth:
+            step = written[-1].df.join(ways, F.col("node") == F.col("a")).groupBy("pivot", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+            # ways lead both ways, so a neighbour of the last level is new or lies in that level or the one before
+            for level in written[-2:]:
+                step = step.join(level.df.select("pivot", "node"), ["pivot", "node"], "left_anti")
+            written.append(store(step, "level"))
+            if written[-1].df.isEmpty():
+                break
+        levels = [level.df for level in written]
+        below, terms = levels[-1].withColumn("share", F.lit(0.0)), []
+        for upper in reversed(levels[:-1]):
+            back = below.select("pivot", F.col("node").alias("b"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+            got = back.join(ways, "b").select("pivot", F.col("a").alias("node"), "part").join(upper, ["pivot", "node"])
+            share = got.groupBy("pivot", "node").agg(F.sum(F.col("part") * F.col("paths")).alias("share"))
+            written.append(store(upper.join(share, ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "back"))
+            below = written[-1].df
+            terms.append(below.filter("node <> pivot").select("node", "share"))
+        rest = terms[0] if terms else levels[0].select("node", F.lit(0.0).alias("share")).limit(0)
+        for term in terms[1:]:
+            rest = rest.unionByName(term)
+        sums.append(store(rest.groupBy("node").agg(F.sum("share").alias("share")), "shares").df)
+        for old in written:
+            old.drop()
+    out = sums[0]
+    for more in sums[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("score")).join(ids, "id").select("node", "score")

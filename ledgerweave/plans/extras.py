@@ -185,11 +185,15 @@ def q_volume_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 query()(q_volume_matched)
 
 
+PIVOTS = 200
+
+
 def q_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies on shortest paths of up to four steps from sixteen pivots, in hash order."""
-    pivots = graph_degrees(spark, sf_dir).orderBy(hash8(F.lit("pivot"), "addr"), "addr").limit(16).select(F.col("addr").alias("node"))
-    b = betweenness(pairs(spark, sf_dir).select("src", "dst"), pivots, 4)
-    return b.select(F.col("node").alias("addr"), r6(F.col("score")).alias("score"))
+    """Dependencies on whole shortest paths from two hundred pivots, in hash order; a row for each address."""
+    nodes = graph_degrees(spark, sf_dir).select("addr")
+    pivots = nodes.orderBy(hash8(F.lit("pivot"), "addr"), "addr").limit(PIVOTS).select(F.col("addr").alias("node"))
+    b = betweenness(pairs(spark, sf_dir).select("src", "dst"), pivots).withColumnRenamed("node", "addr")
+    return nodes.join(b, "addr", "left").select("addr", r6(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 def q_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
