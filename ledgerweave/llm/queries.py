@@ -66,7 +66,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the longest run of the item's words and whether the passage is whole."""
+    """With the longest run of the item's words, whether the passage is whole and the share of its exact shingles."""
     return leaks_found(spark, sf_dir)
 
 

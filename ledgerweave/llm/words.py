@@ -7,6 +7,7 @@ digit are no words, except blacked-out ones (blocks or an ellipsis), which are k
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,12 @@ _ASCII[0x80:] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
+#: letters that scanning takes for one another, as one form
+_FORM = np.arange(256, dtype=np.uint8)
+for _a, _b in (b"1l", b"il", b"0o", b"5s"):
+    _FORM[_a] = _b
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+
 #: ligatures that scanning leaves behind, as bytes
 _LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
 BLACK_HASH = np.uint64(1)
@@ -40,6 +47,10 @@ class Words:
     first: np.ndarray  # int64, index of the first word of each text, and the number of words at the end
     upper: np.ndarray  # bool, whether the word begins with a capital letter
     closing: np.ndarray  # bool, whether the run ends with a full stop, question or exclamation mark
+    low: np.ndarray  # uint8, the buffer in lower case
+    letters: np.ndarray  # int64, places of letters and digits in ``buffer``
+    spell: np.ndarray  # int64, where in ``letters`` each word begins
+    size: np.ndarray  # int64, and how many letters it has
 
     def text(self, i: int) -> str:
         """The word itself, normalised; '█' for a blacked-out one."""
@@ -47,6 +58,43 @@ class Words:
             return "█"
         return normal(self.buffer[self.start[i] : self.end[i]].decode("utf-8", "ignore"))
 
+    def shapes(self) -> "Shapes":
+        return Shapes(self)
+
+
+class Shapes:
+    """Keys of words as scanning sees them, letters of one shape being one: a word's own, and those of it less one letter.
+
+    Two words that differ by one letter more, less, other or swapped with its neighbour share a key.
+    """
+
+    SLIP_LETTERS = 5  # shorter words are compared as they are
+
+    def __init__(self, ws: Words) -> None:
+        low = ws.low[ws.letters]
+        unit = low < 0xC0  # the lead bytes of longer letters don't count, so that a letter is one place
+        count = np.concatenate([[0], np.cumsum(unit, dtype=np.int64)])
+        self.begin = count[ws.spell]
+        self.size = count[ws.spell + ws.size] - self.begin
+        self.owner = np.repeat(np.arange(len(self.begin)), self.size)
+        place = (np.arange(len(self.owner)) - self.begin[self.owner]).astype(np.uint8)
+        zero = np.zeros(1, np.uint64)
+        with np.errstate(over="ignore"):
+            value = _VALUE[_FORM[low[unit]]]
+            self.here = np.concatenate([zero, np.cumsum(value * _POWER[place], dtype=np.uint64)])
+            self.back = np.concatenate([zero, np.cumsum(value * _POWER[place - np.uint8(1)], dtype=np.uint64)])
+            self.own = _mix(self.here[self.begin + self.size] - self.here[self.begin] + self.size.astype(np.uint64) * _LENGTH) | np.uint64(2)
+        self.own[ws.hash == BLACK_HASH] = BLACK_HASH
+
+    def less(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, key) of each letter taken out of the words marked in ``among`` that are long enough to be read with a slip."""
+        at = np.flatnonzero((among & (self.size >= self.SLIP_LETTERS))[self.owner])
+        w = self.owner[at]
+        first = self.begin[w]
+        with np.errstate(over="ignore"):
+            parts = self.here[at] - self.here[first] + self.back[first + self.size[w]] - self.back[at + 1]
+            return w, _mix(parts + (self.size[w] - 1).astype(np.uint64) * _LENGTH) | np.uint64(2)
+
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -106,7 +154,7 @@ def words(texts: list[str | None]) -> Words:
         end = np.append(end, len(raw))
     empty = np.empty(0, np.int64)
     if not len(begin):
-        return Words(np.empty(0, np.uint64), np.empty(0, np.int32), empty, empty, buffer, np.zeros(len(texts) + 1, np.int64), np.empty(0, bool), np.empty(0, bool))
+        return Words(np.empty(0, np.uint64), np.empty(0, np.int32), empty, empty, buffer, np.zeros(len(texts) + 1, np.int64), np.empty(0, bool), np.empty(0, bool), low, empty, empty, empty)
     letters = np.flatnonzero(kind == _LETTER)
     n_letters = np.concatenate([[0], np.cumsum(kind == _LETTER, dtype=np.int64)])
     per = n_letters[end] - n_letters[begin]
@@ -120,6 +168,7 @@ def words(texts: list[str | None]) -> Words:
         hashes = _mix(total[n_letters[end]] - total[n_letters[begin]] + per.astype(np.uint64)) | np.uint64(2)
     hashes[blacked] = BLACK_HASH
     keep = (per > 0) | blacked
+    spell, per = n_letters[begin[keep]], per[keep]
     begin, end, hashes = begin[keep], end[keep], hashes[keep]
     doc = np.searchsorted(ends, begin, side="right").astype(np.int32)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -128,4 +177,17 @@ def words(texts: list[str | None]) -> Words:
     upper = ((lead >= 0x41) & (lead <= 0x5A)) | ((lead == 0xC3) & (nxt >= 0x80) & (nxt <= 0x9E))
     last = raw[end - 1]
     closing = (last == 0x2E) | (last == 0x3F) | (last == 0x21)
-    return Words(hashes, doc, begin, end, buffer, first, upper, closing)
+    return Words(hashes, doc, begin, end, buffer, first, upper, closing, low, letters, spell, per)
+
+
+def slices(texts: list[str | None], rows: int = 256, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, length) of runs of texts of at most ``rows`` texts and, unless one text alone is longer, ``chars`` letters."""
+    first = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > first and (i - first >= rows or total + n > chars):
+            yield first, i - first
+            first, total = i, 0
+        total += n
+    if len(texts) > first:
+        yield first, len(texts) - first
