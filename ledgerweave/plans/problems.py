@@ -8,9 +8,10 @@ from ledgerweave.operators.chunks import per_key
 from ledgerweave.operators.lookups import semi_by_size
 from ledgerweave.operators.rolling import dense_days, trailing_totals
 from ledgerweave.sources.tables import TRANSFERS, path_of, table
+from ledgerweave.storage import store
 from ledgerweave.streaming.dedup import Deduplicated, once
 
-FIRST_DAY, LAST_DAY = "2022-01-01", "2024-12-31"
+LAST_DAY = "2024-12-31"  # the problem asks for days up to this one
 
 
 def sides(transfers: DataFrame, **payload) -> DataFrame:
@@ -67,8 +68,8 @@ def received_daily(transfers: DataFrame, addresses: DataFrame) -> DataFrame:
 def rolling_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "tron_usdt_blacklist_added").select(address("addr_hex").alias("addr_hex"))
     listed = listed.filter(F.col("addr_hex").isNotNull()).distinct()
-    daily = received_daily(table(spark, sf_dir, TRANSFERS), listed)
-    return trailing_totals(dense_days(listed, "addr_hex", daily, "day", "received", FIRST_DAY, LAST_DAY), "addr_hex", "day", "received", [7, 30])
+    daily = store(received_daily(table(spark, sf_dir, TRANSFERS), listed), "daily").df  # one row per address and active day
+    return trailing_totals(dense_days(listed, "addr_hex", daily, "day", "received", LAST_DAY), "addr_hex", "day", "received", [7, 30])
 
 
 def p5_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,7 @@ WITH x AS ({_T}),
 a AS (SELECT DISTINCT right(lower(addr_hex), 40) AS addr_hex FROM tron_usdt_blacklist_added WHERE addr_hex IS NOT NULL),
 d AS (SELECT t AS addr_hex, DATE '1970-01-01' + CAST(floor(blockTimestamp / {DAY_MS}) AS INT) AS day, sum(CAST(value AS DECIMAL(20,6))) AS v
       FROM x JOIN a ON x.t = a.addr_hex WHERE blockTimestamp IS NOT NULL AND value > 0 AND value <= 1e8 GROUP BY 1, 2),
-s AS (SELECT addr_hex, CAST(u.day AS DATE) AS day FROM a, (SELECT unnest(range(DATE '{FIRST_DAY}', DATE '{LAST_DAY}' + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day) u),
+s AS (SELECT addr_hex, CAST(u.day AS DATE) AS day FROM a, (SELECT unnest(range((SELECT coalesce(min(day), DATE '{LAST_DAY}') FROM d), DATE '{LAST_DAY}' + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day) u),
 z AS (SELECT s.addr_hex, s.day, coalesce(d.v, 0) AS v FROM s LEFT JOIN d ON s.addr_hex = d.addr_hex AND s.day = d.day),
 r AS (SELECT addr_hex, day,
         CAST(sum(v) OVER (PARTITION BY addr_hex ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS DOUBLE) AS t7,
