@@ -2,22 +2,29 @@
 
 Messages stream in micro-batches. A keyed state store holds the identifiers seen; the event time of a
 delivery is the time of its load, and an identifier expires once the watermark has passed its load by
-``horizon``. Spark commits the state with the offsets of the batch, and a batch writes its kept rows
+``horizon``. Spark commits the state with the offsets of the batch, and a batch writes the rows that pass
 into a folder of its own number, which a repeated batch overwrites: state and output agree after any
-failure. What the state store cannot answer any more is looked up in the output itself:
+failure, and with a ``folder`` of its own a run goes on where the one before was broken off, the driver
+included. The work of a batch doesn't depend on how much was delivered before it.
 
-* a row that passes the state store although its identifier was kept before the state expired is
-  removed by an anti join of each batch with the batches old enough to have expired, and
-* a row whose load is older than the watermark, which the state store discards, comes back if its
-  identifier was never kept.
+What the state store can't answer any more is looked up in the output when the stream has caught up:
+
+* an identifier that came back after its state had expired lies in the output of more than one batch. The
+  batches that can hold such rows are known from the first and last load of each, which is written beside
+  the output; their identifiers are compared once, and all rows but the first are marked as repeats, and
+* a row whose load is older than the watermark, which the state store discards and counts, comes back if
+  its identifier was never kept.
 """
 
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ledgerweave.storage import fresh_path, is_file, store
+from ledgerweave.storage import exists, fresh_path, is_file, store
 
 FILE, ROW, EPOCH = "_lw_file", "_lw_row", "_lw_epoch"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,6 +46,23 @@ def _with_place(df: DataFrame) -> DataFrame:
     return df.withColumn(FILE, F.xxhash64("_metadata.file_path")).withColumn(ROW, F.col("_metadata.row_index"))
 
 
+class _Discarded(StreamingQueryListener):
+    """Rows discarded by the watermark in all batches of a query, not only the recent ones."""
+
+    def __init__(self) -> None:
+        self.rows, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
 def once(
     spark: SparkSession,
     path: str,
@@ -47,6 +71,8 @@ def once(
     columns: list[str],
     horizon: str = "26 weeks",
     bytes_per_batch: int = 256 << 20,
+    folder: str | None = None,
+    after_batch: Callable[[int], None] | None = None,
 ) -> Deduplicated:
     """Run the Parquet files at ``path`` through the stream until all that is there has been read.
 
@@ -54,6 +80,10 @@ def once(
     (null counts as 1970). ``columns`` are carried to the output beside the identifier, under their own
     names prefixed ``in_`` if they clash with it. Which copy stays is not defined, but it is one whole
     delivered row. An empty table gives empty results.
+
+    ``folder`` keeps state and output, so that a later call reads only what is new or was broken off;
+    without one they lie in a fresh folder. ``after_batch`` is called with the number of each batch when
+    its output is written, before Spark commits it.
     """
     raw = spark.read.parquet(path)
     names = list(identifier)
@@ -69,34 +99,29 @@ def once(
         picked = _with_place(df).select(F.struct(*shaped).alias("_lw_id"), when.alias("_lw_at"), *carried, FILE, ROW)
         return picked.filter(has_id).select("_lw_id.*", "_lw_at", *out_columns, FILE, ROW)
 
-    base = fresh_path(spark, "once")
-    kept_path = f"{base}/kept"
-    kept_schema = identified(raw).schema.add(EPOCH, "integer")
-    oldest: dict[int, object] = {}
+    resumed = folder is not None and exists(spark, f"{folder}/checkpoint")
+    base = folder or fresh_path(spark, "once")
+    passed_path, loads_path = f"{base}/passed", f"{base}/loads"
+    passed_schema = identified(raw).schema.add(EPOCH, "integer")
 
     def settle(batch: DataFrame, epoch: int) -> None:
-        passed = store(batch, "passed")  # the state store is asked once
-        newest = passed.df.agg(F.max("_lw_at")).first()[0]
-        fresh = passed.df
-        if oldest:
-            expired = [e for e, at in oldest.items() if at is not None]
-            limit = spark.range(1).select(F.lit(newest) - F.expr(f"interval {horizon}")).first()[0] if newest else None
-            old = [f"{kept_path}/{EPOCH}={e}" for e in expired if limit is not None and oldest[e] <= limit]
-            if old:
-                archive = spark.read.schema(kept_schema).option("basePath", kept_path).parquet(*old).select(*names)
-                fresh = fresh.join(archive, names, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{kept_path}/{EPOCH}={epoch}")
-        oldest[epoch] = passed.df.agg(F.min("_lw_at")).first()[0]
-        passed.drop()
+        target = f"{passed_path}/{EPOCH}={epoch}"
+        batch.write.mode("overwrite").parquet(target)
+        written = spark.read.schema(batch.schema).parquet(target)
+        written.agg(F.min("_lw_at").alias("low"), F.max("_lw_at").alias("high")).write.mode("overwrite").parquet(f"{loads_path}/{EPOCH}={epoch}")
+        if after_batch:
+            after_batch(epoch)
 
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, ROCKS)
+    count = _Discarded()
+    spark.streams.addListener(count)
     try:
         reader = spark.readStream.schema(raw.schema).option("maxBytesPerTrigger", str(bytes_per_batch))
         if is_file(spark, path):
-            folder, _, name = path.rpartition("/")
-            stream = reader.option("pathGlobFilter", name).parquet(folder)
+            parent, _, name = path.rpartition("/")
+            stream = reader.option("pathGlobFilter", name).parquet(parent)
         else:
             stream = reader.parquet(path)
         query = (
@@ -111,36 +136,56 @@ def once(
         query.awaitTermination()
         if query.exception():
             raise query.exception()
-        progress = query.recentProgress
+        counted = count.ended.wait(60)
     finally:
+        spark.streams.removeListener(count)
         if before is None:
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
 
-    discarded = sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators)
+    if not exists(spark, passed_path):
+        spark.createDataFrame([], passed_schema).write.partitionBy(EPOCH).mode("overwrite").parquet(passed_path)
+        spark.createDataFrame([], f"low timestamp, high timestamp, {EPOCH} int").write.partitionBy(EPOCH).mode("overwrite").parquet(loads_path)
+    loads = spark.read.schema(f"low timestamp, high timestamp, {EPOCH} int").option("basePath", loads_path).parquet(loads_path).filter(f"low is not null and {EPOCH} >= 0")
+    passed = spark.read.schema(passed_schema).option("basePath", passed_path).parquet(passed_path).filter(f"{EPOCH} >= 0")
+    kept = _first_of_each(passed, loads, names, horizon)
     restored = 0
-    if not oldest:
-        store_empty = spark.createDataFrame([], kept_schema)
-        store_empty.write.partitionBy(EPOCH).mode("overwrite").parquet(kept_path)
-    kept = spark.read.schema(kept_schema).option("basePath", kept_path).parquet(kept_path)
-    if discarded or len(progress) >= int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")):
+    # a run that was broken off didn't leave its count
+    if count.rows or resumed or not counted:
         late = identified(raw).join(kept.select(*names), names, "left_anti")
         one = late.groupBy(*names).agg(F.min_by(F.struct("_lw_at", *out_columns, FILE, ROW), F.struct(FILE, ROW)).alias("_lw_row_"))
-        one = one.select(*names, "_lw_row_.*")
-        late_path = f"{kept_path}/{EPOCH}={max(oldest, default=-1) + 1}"
-        one.write.mode("overwrite").parquet(late_path)
-        restored = spark.read.parquet(late_path).count()
-        kept = spark.read.schema(kept_schema).option("basePath", kept_path).parquet(kept_path)
+        found = store(one.select(*names, "_lw_row_.*"), "late").df
+        restored = found.count()
+        kept = kept.unionByName(found.withColumn(EPOCH, F.lit(-1)))
 
     rows = identified(raw)
     repeats = rows.join(kept.select(FILE, ROW), [FILE, ROW], "left_anti")
-    missing = ~has_id
-    without = raw.select(F.struct(*shaped).alias("_lw_id"), *carried).filter(missing).select("_lw_id.*", *out_columns)
+    without = raw.select(F.struct(*shaped).alias("_lw_id"), *carried).filter(~has_id).select("_lw_id.*", *out_columns)
     return Deduplicated(
         kept.select(*names, *out_columns),
         repeats.select(*names, *out_columns),
         without,
         restored,
-        len(oldest),
+        loads.count(),
     )
+
+
+def _first_of_each(passed: DataFrame, loads: DataFrame, names: list[str], horizon: str) -> DataFrame:
+    """``passed`` without rows whose identifier an earlier batch passed, which it can only where state may have expired.
+
+    A batch can hold such rows if an earlier one holds a load older than the newest load up to it by more
+    than the horizon. Without such a batch nothing is compared.
+    """
+    order = Window.orderBy(EPOCH)  # one row per batch
+    newest = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    oldest = F.min("low").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    suspect = loads.withColumn("newest", newest).withColumn("oldest", oldest).filter(F.col("oldest") + F.expr(f"interval {horizon}") <= F.col("newest"))
+    since = suspect.agg(F.min(EPOCH)).first()[0]
+    if since is None:
+        return passed
+    place = F.struct(EPOCH, FILE, ROW)
+    # the least place is combined before the shuffle, and an identifier passes once per batch at most
+    twice = passed.groupBy(*names).agg(F.min(place).alias("_lw_least"), F.count(F.lit(1)).alias("_lw_n")).filter("_lw_n > 1").select(*names, "_lw_least")
+    more = store(passed.filter(F.col(EPOCH) >= since).join(store(twice, "twice").df, names).filter(place > F.col("_lw_least")).select(EPOCH, FILE, ROW), "expired").df
+    return passed.join(more, [EPOCH, FILE, ROW], "left_anti")
