@@ -9,11 +9,13 @@ then numbered within their size without a task that holds a size (exact offsets,
 ``operators.chunks``) and each finds its bin from its number.
 """
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.chunks import RANK, number_rows
@@ -129,20 +131,47 @@ def word_runs(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RUN)), F.lit(0))
 
 
-def tokenizer_sizes(documents: DataFrame, item_id: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
-    """(item_id, n_tokens) by a public byte-level BPE vocabulary given as ranks; null text has 0 tokens."""
+@lru_cache(4)
+def _coder(name: str, pattern: str):
+    """The tokenizer of a worker, read once."""
+    import base64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
+    import tiktoken
+    from pyspark import SparkFiles
+
+    with open(SparkFiles.get(name), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def tokenizer_sizes(documents: DataFrame, item_id: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
+    """(item_id, n_tokens) by a public byte-level BPE vocabulary given as ranks; null text has 0 tokens.
 
-        import tiktoken
+    The file of ranks need only lie where the driver runs: it is sent to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(ranks_path)
+    name = os.path.basename(ranks_path)
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        coder = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(name, pattern)
         for b in batches:
             n = [len(coder.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["item_id", "n_tokens"])
 
     kind = dict(documents.dtypes)[item_id]
     return documents.select(F.col(item_id).alias("item_id"), text).mapInArrow(run, f"item_id {kind}, n_tokens bigint")
+
+
+def check(packed: DataFrame, capacity: int) -> DataFrame:
+    """(items, tokens, bins, over_capacity, overlaps, least): what a packing holds and whether it is one.
+
+    ``over_capacity`` counts bins beyond their capacity, ``overlaps`` pieces that begin before the one
+    before them in their bin ends, and ``least`` is the number of bins no packing of these tokens can go below.
+    """
+    in_bin = Window.partitionBy("bin").orderBy("at")  # a bin holds at most ``capacity`` pieces
+    before = F.lag(F.col("at") + F.col("size")).over(in_bin)
+    placed = packed.filter("bin is not null").withColumn("overlap", F.coalesce(before > F.col("at"), F.col("at") < 0))
+    bins = placed.groupBy("bin").agg(F.sum("size").alias("fill"), F.max(F.col("at") + F.col("size")).alias("end"), F.count_if("overlap").alias("overlaps"))
+    whole = bins.agg(F.count(F.lit(1)).alias("bins"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens"), F.count_if((F.col("fill") > capacity) | (F.col("end") > capacity)).alias("over_capacity"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlaps"))
+    items = packed.groupBy("item_id").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("items"))
+    return whole.crossJoin(items).select("items", "tokens", "bins", "over_capacity", "overlaps", F.ceil(F.col("tokens") / capacity).alias("least"))

@@ -1,7 +1,9 @@
 """Most frequent values by a three-phase threshold search.
 
-A node is an input split. It holds its local counts, written once: the split is sorted by value and
-counted run by run, so its memory doesn't depend on the number of values. Then
+A node is a task over its share of the input splits; there are as many nodes as cores, however many
+splits, for a node's share of the bound below falls with the number of nodes. It holds its local counts,
+written once: its rows are sorted by value and counted run by run, so its memory doesn't depend on the
+number of values. Then
 
 1. every node names its ``k`` local leaders; the k-th largest sum of what they report is a lower bound
    of the k-th largest count,
@@ -54,10 +56,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def local_counts(df: DataFrame, column: str, nodes: int | None = None) -> Stored:
-    """(node, v, n): the count of each value on each node; nulls are left out."""
+    """(node, v, n): the count of each value on each node, of which there are as many as cores; nulls are left out."""
     values = df.select(F.col(column).cast("string").alias("v")).filter(F.col("v").isNotNull())
-    if nodes:
-        values = values.coalesce(nodes)
+    values = values.coalesce(nodes or df.sparkSession.sparkContext.defaultParallelism)
     return store(values.sortWithinPartitions("v").mapInArrow(_runs, "node int, v string, n bigint"), "local")
 
 
@@ -66,11 +67,12 @@ def _kth(counts: DataFrame, column: str, k: int) -> int:
     return int(rows[-1][0]) if len(rows) == k else 0
 
 
-def top_k(df: DataFrame, column: str, k: int, nodes: int | None = None) -> DataFrame:
+def top_k(df: DataFrame, column: str, k: int, nodes: int | None = None, told: dict | None = None) -> DataFrame:
     """(v, n): the ``k`` most frequent values of ``column`` with their exact counts.
 
     Ties at the end go to the smaller value in text order. Null is no value. With fewer than ``k``
-    values all are returned; an empty table gives none.
+    values all are returned; an empty table gives none. ``told`` takes the numbers of nodes and local
+    counts, the share of the second phase and how many local counts and values were fetched by it.
     """
     counts = local_counts(df, column, nodes).df
     m = counts.agg(F.max("node")).first()[0]
@@ -81,6 +83,9 @@ def top_k(df: DataFrame, column: str, k: int, nodes: int | None = None) -> DataF
     sums = counts.filter(F.col("n") >= share).groupBy("v").agg(F.sum("n").alias("low"), F.count(F.lit(1)).alias("told"))
     sums = store(sums.withColumn("high", F.col("low") + (m - F.col("told")) * (share - 1)), "bounds")
     second = _kth(sums.df, "low", k)
+    if told is not None:
+        fetched = counts.filter(F.col("n") >= share).count()
+        told |= {"nodes": m, "local_counts": counts.count(), "share": share, "fetched": fetched, "values": sums.df.count()}
     candidates = store(sums.df.filter(F.col("high") >= second).select("v"), "candidates")
     exact = semi_by_size(counts, candidates.df, ["v"]).groupBy("v").agg(F.sum("n").alias("n"))
     return exact.orderBy(F.desc("n"), "v").limit(k)

@@ -40,6 +40,22 @@ def test_counts_are_unbiased_and_intervals_hold():
     assert abs(np.mean(found) - 1) < 0.02 and inside >= 51
 
 
+def test_registers_hold_over_many_groups_of_every_size(spark):
+    """With 32 registers nearly every group leaves the exact list; the finest sketches merge to all levels."""
+    rng = np.random.default_rng(3)
+    rows = [(f"2024-01-{d + 1:02d}", load, f"s{rng.integers(0, 10 ** (1 + d % 4))}", f"r{rng.integers(0, 3000)}") for d in range(12) for load in range(3) for _ in range(600)]
+    df = spark.createDataFrame(rows, "day string, load int, f string, t string").withColumn("day", F.to_date("day"))
+    exact: dict = {}
+    for day, load, f, t in rows:
+        for level, d, b in (("day_load", day, load), ("day", day, None), ("load", None, load), ("all", None, None)):
+            for side, v in (("from_hex", {f}), ("to_hex", {t}), ("either", {f, t})):
+                exact.setdefault((level, d, b, side), set()).update(v)
+    got = distinct.counts(distinct.rolled_up(distinct.sketches(df, "day", "load", {"from_hex": "f", "to_hex": "t"}, m=64), 64), 64).collect()
+    errors = [r["n_distinct"] / len(exact[r["level"], r["day_utc"], r["batch_id"], r["side"]]) - 1 for r in got]
+    inside = sum(r["low"] <= len(exact[r["level"], r["day_utc"], r["batch_id"], r["side"]]) <= r["high"] for r in got)
+    assert len(got) == len(exact) and abs(np.mean(errors)) < 0.05 and np.std(errors) < 1.5 / 8 and inside >= 0.88 * len(got)
+
+
 def test_small_sets_are_exact_and_levels_add_up(spark):
     rows = [("2024-01-01", 1, "a", "b"), ("2024-01-01", 1, "a", "c"), ("2024-01-01", 2, "b", None), ("2024-01-02", 2, "a", "b"), (None, None, None, "z")]
     df = spark.createDataFrame(rows, "day string, load int, f string, t string").withColumn("day", F.to_date("day"))
@@ -63,6 +79,13 @@ def test_top_k_equals_counting_everything(spark, k):
     assert [(r["v"], r["n"]) for r in topk.top_k(df, "x", k).collect()] == want
 
 
+def test_nodes_are_bound_to_the_cores(spark):
+    values = [f"v{i % 40:02d}" if i % 3 else f"rare{i:05d}" for i in range(6000)]
+    told: dict = {}
+    topk.top_k(spark.createDataFrame([(v,) for v in values], "x string").repartition(64), "x", 10, told=told).collect()
+    assert told["nodes"] <= spark.sparkContext.defaultParallelism and told["share"] >= 10 and told["fetched"] < told["local_counts"] / 5
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "x string"), "x", 5).count() == 0
 
@@ -139,6 +162,15 @@ def test_pack_covers_every_item_without_overlap(spark):
     assert packing.pack(empty, "id", "n", 10).count() == 0
 
 
+def test_check_sees_a_wrong_placement(spark):
+    schema = "item_id long, piece_no int, start long, size int, bin long, at int"
+    good = [(1, 0, 0, 6, 0, 0), (2, 0, 0, 4, 0, 6), (3, 0, 0, 7, 1, 0), (4, 0, 0, 0, None, None)]
+    assert packing.check(spark.createDataFrame(good, schema), 10).collect() == [(4, 17, 2, 0, 0, 2)]
+    bad = [(1, 0, 0, 6, 0, 0), (2, 0, 0, 4, 0, 5), (3, 0, 0, 7, 0, 9)]
+    assert packing.check(spark.createDataFrame(bad, schema), 10).collect() == [(3, 17, 1, 1, 1, 2)]
+    assert packing.check(spark.createDataFrame([], schema), 10).collect() == [(0, 0, 0, 0, 0, 0)]
+
+
 def test_word_runs(spark):
     texts = ["a  b\tc\n", "", None, "x y z", "\x0b\x0c"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(packing.word_runs("t").alias("n")).collect()
@@ -234,6 +266,26 @@ def test_areas_are_learned_and_passing_mentions_are_not(spark):
     assert hit / len(held) > 0.95 and hit / len({p for p in found if p[0] >= 260}) > 0.95
 
 
+def test_stated_probabilities_are_seen_frequencies():
+    rng = random.Random(10)
+    truth = [[a for a in ("farm", "sport") if rng.random() < 0.5] for _ in range(400)]
+    texts = [court(rng, a) for a in truth]
+    y = np.array([[float(s in a) for s in ("farm", "sport")] for a in truth])
+    y[rng.sample(range(400), 40)] = 0.5
+    none = [None] * 400
+    m = subjects.fit(texts[:260], none[:260], none[:260], y[:260], ["farm", "sport"])
+    z = m.logits(m.features(subjects.gathered(texts[260:])), subjects.side_features(none[260:], none[260:]), y[260:])
+    assert subjects.reliability(1 / (1 + np.exp(-z)), y[260:]) < 0.05
+
+
+def test_the_sample_is_bounded_in_documents_and_letters(spark):
+    docs = spark.createDataFrame([(i, "word " * 100, None, "en") for i in range(30)] + [(30, None, None, None)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, "x", "sport") for i in range(31)], "doc_id long, annotator string, subject string")
+    assert len(subjects.labelled_sample(docs, labels)) == 30
+    assert len(subjects.labelled_sample(docs, labels, chars=2600)) == 5
+    assert 9 <= len(subjects.labelled_sample(docs, labels, limit=10)) <= 10
+
+
 def test_no_labels_no_areas(spark):
     docs = spark.createDataFrame([(1, "a text", None, None)], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, annotator string, subject string")
