@@ -1,10 +1,19 @@
-"""Graph operators as DataFrame iterations; each round is written to the shared folder."""
+"""Graph operators as DataFrame iterations; each round is written to the shared folder.
 
-from pyspark.sql import DataFrame
+Operators that take ``compact`` count their edges first; up to that many go through the whole-array kernels
+of ``compact.py`` in one task, more through the rounds. Both give the same result.
+"""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ledgerweave.operators import compact as kernels
 from ledgerweave.operators.lookups import lookup
-from ledgerweave.storage import Stored, store
+from ledgerweave.storage import Stored, is_within, store
 
 HOT_SHARE = 1000
 
@@ -14,7 +23,7 @@ def _both_ways(e: DataFrame) -> DataFrame:
     return e.select(F.explode(ends).alias("e")).select("e.x", "e.y")
 
 
-def weak_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def weak_components(edges: DataFrame, a: str, b: str, compact: int = kernels.EDGES) -> DataFrame:
     """(node, root): every end of an edge and the least node of its component, by alternating stars.
 
     A large star hangs the larger neighbours of a node on the least of all, a small star the smaller
@@ -23,6 +32,9 @@ def weak_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     repeated edges don't matter; rows with a null end are left out.
     """
     rows = edges.select(F.col(a).alias("p"), F.col(b).alias("q")).filter(F.col("p").isNotNull() & F.col("q").isNotNull())
+    kind = dict(rows.dtypes)["p"]
+    if is_within(rows, compact):
+        return kernels.in_one_task(rows, kernels.components, f"node {kind}, root {kind}")
     nodes = rows.select(F.explode(F.array("p", "q")).alias("node")).distinct()
     now = store(rows.filter("p <> q").select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct(), "stars")
     mark: tuple | None = None
@@ -45,12 +57,15 @@ def weak_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.join(now.df.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
 
 
-def peel(edges: DataFrame, passes: int | None = None) -> DataFrame:
+def peel(edges: DataFrame, passes: int | None = None, compact: int = kernels.EDGES) -> DataFrame:
     """(src, dst) left when nodes of degree <= 1 are taken away, again and again or ``passes`` times.
 
     ``edges`` are distinct pairs; the two directions of a pair and a loop each count.
     """
-    now: Stored = store(edges.select("src", "dst").distinct(), "core")
+    rows = edges.select("src", "dst").distinct()
+    if passes is None and is_within(rows, compact):
+        return kernels.in_one_task(rows, kernels.core, f"src {rows.dtypes[0][1]}, dst {rows.dtypes[1][1]}")
+    now: Stored = store(rows, "core")
     before, k = -1, 0
     while (n := now.df.count()) != before and (passes is None or k < passes):
         degree = now.df.select(F.explode(F.array("src", "dst")).alias("x")).groupBy("x").count()
@@ -62,22 +77,6 @@ def peel(edges: DataFrame, passes: int | None = None) -> DataFrame:
     return now.df
 
 
-def spread(edges: DataFrame, start: DataFrame, steps: int, damping: float = 1.0, every: int = 5) -> DataFrame:
-    """(node, k, x): x_k(j) = damping * sum over i -> j of weight(i, j) x_{k-1}(i), for k = 1 .. steps.
-
-    ``edges`` has src, dst, weight; ``start`` node and x. Lineage is cut every few steps by a written table.
-    """
-    e = edges.select(F.col("src").alias("node"), "dst", "weight")
-    x, out = start.select("node", "x"), None
-    for k in range(1, steps + 1):
-        x = e.join(x, "node").groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("weight") * F.col("x")) * damping).alias("x"))
-        if k % every == 0:
-            x = store(x, "spread").df
-        term = x.select("node", F.lit(k).cast("bigint").alias("k"), "x")
-        out = term if out is None else out.unionByName(term)
-    return out
-
-
 def reached_by(edges: DataFrame, block: int = 50_000) -> DataFrame:
     """(node, n): how many other nodes have a path to each node that any has one to.
 
@@ -109,45 +108,91 @@ def reached_by(edges: DataFrame, block: int = 50_000) -> DataFrame:
     return out.groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id) and (u, v, weight): ``edges`` (src, dst, weight) with their ends numbered, to keep the rows short."""
-    ids = store(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()), "ids").df
-    e = edges.join(ids.select(F.col("node").alias("src"), F.col("id").alias("u")), "src").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("v")), "dst")
-    return ids, store(e.select("u", "v", "weight"), "edges").df
+class Walker:
+    """Edges (src, dst, weight) with numbered ends, ready for many steps.
 
+    Edges out of hubs, nodes with more than a thousandth of all edges, lie apart: their nodes are a
+    thousand at most, whose values are broadcast, so that no task gets a hub's edges. The others are
+    shuffled by their node. What comes in at a node is summed before the shuffle.
+    """
 
-def _walk(e: DataFrame, x: DataFrame, scale: float = 1.0) -> DataFrame:
-    return e.join(x, F.col("u") == F.col("id")).groupBy(F.col("v").alias("id")).agg((F.sum(F.col("weight") * F.col("x")) * scale).alias("x"))
+    def __init__(self, edges: DataFrame) -> None:
+        self.spark = edges.sparkSession
+        self.ids = store(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()), "ids").df
+        e = edges.join(self.ids.select(F.col("node").alias("src"), F.col("id").alias("u")), "src").join(self.ids.select(F.col("node").alias("dst"), F.col("id").alias("v")), "dst")
+        self.edges = store(e.select("u", "v", "weight"), "edges").df
+        limit = max(1, self.edges.count() // HOT_SHARE)
+        self.hubs = store(self.edges.groupBy("u").count().filter(F.col("count") > limit).select(F.col("u").alias("id")), "hubs").df
+        near = F.broadcast(self.hubs.withColumnRenamed("id", "u"))
+        self.of_hubs = store(self.edges.join(near, "u", "left_semi"), "edges").df
+        self.of_others = store(self.edges.join(near, "u", "left_anti"), "edges").df
 
+    def step(self, x: DataFrame, scale: float = 1.0) -> DataFrame:
+        """(id, x): scale * sum over the edges u -> id of weight * x(u)."""
+        at = F.col("u") == F.col("id")
+        hot = self.of_hubs.join(F.broadcast(x.join(F.broadcast(self.hubs), "id", "left_semi")), at)
+        part = self.of_others.join(x, at).select("v", "weight", "x").unionByName(hot.select("v", "weight", "x"))
+        return part.groupBy(F.col("v").alias("id")).agg((F.sum(F.col("weight") * F.col("x")) * scale).alias("x"))
+
+    def named(self, rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(self.ids, "id").select("node", *columns)
+
+
+def _fits(edges: DataFrame, compact: int) -> DataFrame | None:
+    """``edges`` as (src, dst, weight) if they are few enough for one task."""
+    rows = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    return rows if is_within(rows, compact) else None
 
-def spectral_radius(edges: DataFrame, rounds: int = 200, every: int = 5) -> float:
-    """Growth of the norm in one more step after ``rounds`` steps of the power method, from ones.
 
-    Lineage is cut and the vector scaled every few steps, so that it neither vanishes nor overflows.
+def walk_terms(edges: DataFrame, steps: int, damping: float = 1.0, compact: int = kernels.EDGES) -> DataFrame:
+    """(node, k, x): x_k(j) = damping * sum over i -> j of weight(i, j) x_{k-1}(i), for k = 1 .. steps, from x_0 = 1.
+
+    ``edges`` has src, dst, weight. A node that no walk of k steps ends in has no row for k. Each step is written.
     """
-    ids, e = _numbered(edges)
-    x, scale, old = ids.select("id", F.lit(1.0).alias("x")), 1.0, None
-    for k in range(1, rounds + 2):
-        x = _walk(e, x, scale)
-        scale = 1.0
-        if k % every == 0 or k >= rounds:
-            now = store(x, "power")
-            norm = now.df.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-            if old:
-                old.drop()
-            if not norm or k > rounds:
-                now.drop()
-                return norm or 0.0
-            x, old, scale = now.df, now, 1.0 / norm
-    return 0.0
+    if (rows := _fits(edges, compact)) is not None:
+        got = kernels.in_one_task(rows, kernels.walks(steps, damping, True), f"id {rows.dtypes[0][1]}, k bigint, x double")
+        return got.withColumnRenamed("id", "node")
+    w = Walker(edges)
+    x, out = w.ids.select("id", F.lit(1.0).alias("x")), None
+    for k in range(1, steps + 1):
+        x = store(w.step(x, damping), "term").df
+        term = x.select("id", F.lit(k).cast("bigint").alias("k"), "x")
+        out = term if out is None else out.unionByName(term)
+    return w.named(out, "k", "x")
 
 
-def walk_sum(edges: DataFrame, steps: int, damping: float, every: int = 5) -> DataFrame:
-    """(node, c): the terms of ``spread`` from ones, summed; the terms are added up and deleted every few steps."""
-    ids, e = _numbered(edges)
-    x, total, terms = ids.select("id", F.lit(1.0).alias("x")), None, []
+def spectral_radius(edges: DataFrame, rounds: int = 200, compact: int = kernels.EDGES) -> float:
+    """Growth of the norm in one more step after ``rounds`` steps of the power method, from ones.
+
+    Each step is written and its norm observed on the way; the next step scales by it.
+    """
+    if (rows := _fits(edges, compact)) is not None:
+        got = kernels.in_one_task(rows, kernels.growth(rounds), "radius double").first()
+        return got[0] if got else 0.0
+    w = Walker(edges)
+    x, norm, old = w.ids.select("id", F.lit(1.0).alias("x")), 1.0, None
+    for _ in range(rounds + 1):
+        seen = Observation()
+        now = store(w.step(x, 1.0 / norm).observe(seen, F.sum(F.col("x") * F.col("x")).alias("s")), "power")
+        norm = float(seen.get["s"] or 0.0) ** 0.5
+        if old:
+            old.drop()
+        if not norm:
+            break
+        x, old = now.df, now
+    now.drop()
+    return norm
+
+
+def walk_sum(edges: DataFrame, steps: int, damping: float, every: int = 5, compact: int = kernels.EDGES) -> DataFrame:
+    """(node, c): the terms of ``walk_terms``, summed; the terms are added up and deleted every few steps."""
+    if (rows := _fits(edges, compact)) is not None:
+        got = kernels.in_one_task(rows, kernels.walks(steps, damping, False), f"id {rows.dtypes[0][1]}, x double")
+        return got.select(F.col("id").alias("node"), F.col("x").alias("c"))
+    w = Walker(edges)
+    x, total, terms = w.ids.select("id", F.lit(1.0).alias("x")), None, []
     for k in range(1, steps + 1):
-        terms.append(store(_walk(e, x, damping), "term"))
+        terms.append(store(w.step(x, damping), "term"))
         x = terms[-1].df
         if k % every == 0 or k == steps:
             rows = total.df if total else None
@@ -158,34 +203,47 @@ def walk_sum(edges: DataFrame, steps: int, damping: float, every: int = 5) -> Da
             for old in [*terms[:-1], *([total] if total else [])]:
                 old.drop()
             total, terms = after, terms[-1:]
-    return total.df.join(ids, "id").select("node", F.col("x").alias("c"))
+    return w.named(total.df.withColumnRenamed("x", "c"), "c")
 
 
-def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, tol: float = 1e-10) -> DataFrame:
+def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, tol: float = 1e-10, compact: int = kernels.EDGES) -> DataFrame:
     """(node, r) from the uniform vector, dangling mass spread evenly, after at most ``rounds`` rounds.
 
-    It ends when the ranks change by less than ``tol`` in sum. Each round is written.
+    ``pairs`` has src and dst and may have weight; a node's rank goes to its successors by weight, else evenly.
+    It ends when the ranks change by less than ``tol`` in sum. Each round is one job: it is written, and the
+    change and the dangling mass are observed on the way.
     """
-    out = pairs.groupBy("src").agg((1 / F.count(F.lit(1))).alias("weight"))
-    ids, edges = _numbered(pairs.select("src", "dst").join(out, "src"))
-    n = ids.count()
+    given = pairs.withColumn("weight", F.col("weight").cast("double") if "weight" in pairs.columns else F.lit(1.0)).select("src", "dst", "weight")
+    out = given.groupBy("src").agg(F.sum("weight").alias("of"))
+    edges = given.join(out, "src").select("src", "dst", (F.col("weight") / F.col("of")).alias("weight"))
+    if is_within(given, compact):
+        return kernels.in_one_task(edges, kernels.ranks(rounds, alpha, tol), f"id {edges.dtypes[0][1]}, r double").withColumnRenamed("id", "node")
+    w = Walker(edges)
+    n = w.ids.count()
     if not n:
-        return ids.select("node", F.lit(0.0).alias("r"))
-    loose = ids.select("id").join(edges.select(F.col("u").alias("id")).distinct(), "id", "left_anti").withColumn("loose", F.lit(True))
-    now = store(ids.select("id").join(loose, "id", "left").select("id", F.coalesce("loose", F.lit(False)).alias("loose"), F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("change")), "rank")
+        return w.ids.select("node", F.lit(0.0).alias("r"))
+    sends = w.edges.select(F.col("u").alias("id")).distinct().withColumn("loose", F.lit(False))
+    first = w.ids.select("id").join(sends, "id", "left").select("id", F.coalesce("loose", F.lit(True)).alias("loose"), F.lit(1.0 / n).alias("r"))
+
+    def keep(df: DataFrame) -> tuple[Stored, float, float]:
+        seen = Observation()
+        change = F.sum("change" if "change" in df.columns else "r")
+        at = store(df.observe(seen, change.alias("change"), F.sum(F.when(F.col("loose"), F.col("r"))).alias("lost")), "rank")
+        return at, float(seen.get["change"] or 0.0), float(seen.get["lost"] or 0.0)
+
+    now, _, lost = keep(first)
     for _ in range(rounds):
-        lost = now.df.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("r"))), F.lit(0.0))).first()[0]
-        got = _walk(edges, now.df.select("id", F.col("r").alias("x")))
+        got = w.step(now.df.select("id", F.col("r").alias("x")))
         r = alpha * (F.coalesce("x", F.lit(0.0)) + lost / n) + (1 - alpha) / n
-        after = store(now.df.join(got, "id", "left").select("id", "loose", r.alias("r"), F.abs(r - F.col("r")).alias("change")), "rank")
+        after, change, lost = keep(now.df.select("id", "loose", "r").join(got, "id", "left").select("id", "loose", r.alias("r"), F.abs(r - F.col("r")).alias("change")))
         now.drop()
         now = after
-        if now.df.agg(F.sum("change")).first()[0] < tol:
+        if change < tol:
             break
-    return now.df.join(ids, "id").select("node", "r")
+    return w.named(now.df, "r")
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, rows: int = 20_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, rows: int = 20_000_000, compact: int = kernels.EDGES) -> DataFrame:
     """(node, score): shortest-path dependencies on each node that is reached, summed over ``pivots``.
 
     ``edges`` (src, dst) count in both directions. Paths are followed from the pivots level by level until no new node
@@ -193,7 +251,10 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, r
     first. Every level is written, so that the way back reads what the way out found. The pivots, which are few, go in
     blocks of about ``rows`` pairs of pivot and node, whose levels are deleted with their block.
     """
-    ids, e = _numbered(edges.filter("src <> dst").select("src", "dst", F.lit(1.0).alias("weight")))
+    if is_within(edges, compact):
+        return _betweenness_by_pivot(edges.select("src", "dst").filter("src <> dst"), pivots, depth)
+    w = Walker(edges.filter("src <> dst").select("src", "dst", F.lit(1.0).alias("weight")))
+    ids, e = w.ids, w.edges
     ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
     ways = store(e.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct(), "ways").df
     start = sorted(r["id"] for r in pivots.join(ids, "node").select("id").distinct().collect())
@@ -228,3 +289,25 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, r
     for more in sums[1:]:
         out = out.unionByName(more)
     return out.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("score")).join(ids, "id").select("node", "score")
+
+
+def _betweenness_by_pivot(edges: DataFrame, pivots: DataFrame, depth: int | None) -> DataFrame:
+    """The graph, whose size was checked, goes to all tasks; each follows the paths from its pivots."""
+    table = edges.toArrow()
+    kind, spark = edges.dtypes[0][1], edges.sparkSession
+    paths = spark.sparkContext.broadcast(kernels.Paths(table.column(0).combine_chunks(), table.column(1).combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = paths.value
+        total, met = np.zeros(len(g.ids)), np.zeros(len(g.ids), bool)
+        place = {x: i for i, x in enumerate(g.ids.to_pylist())}
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                if x in place:
+                    g.dependencies(place[x], total, met, depth)
+        if met.any():
+            at = np.flatnonzero(met)
+            yield pa.RecordBatch.from_pydict({"node": g.ids.take(pa.array(at)), "score": total[at]})
+
+    few = pivots.select("node").distinct().repartition(max(1, spark.sparkContext.defaultParallelism), "node")
+    return few.mapInArrow(run, f"node {kind}, score double").groupBy("node").agg(F.sum("score").alias("score"))

@@ -1,8 +1,10 @@
 """Joins that stay even when one key holds most of the rows."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.storage import is_within
+
 BROADCAST_ROWS = 20_000
 
 
@@ -13,6 +15,24 @@ def semi_by_size(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BRO
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if is_within(df, limit) else df
+
+
+def smallest(df: DataFrame, keys: list[str], order: list[str], want: str, spread_by: str, salts: int = 64) -> DataFrame:
+    """The first ``want`` rows (a column that is constant per key) of each key by ``order``.
+
+    Each of ``salts`` parts of a key is cut down to ``want`` rows first, so that no task sorts a whole key
+    and at most ``salts * want`` rows of a key meet.
+    """
+    salted = df.withColumn("_lw_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    for by in ([*keys, "_lw_salt"], keys):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        salted = salted.withColumn("_lw_place", place).filter(F.col("_lw_place") <= F.col(want)).drop("_lw_place")
+    return salted.drop("_lw_salt")
+
+
 def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, hot: Column, out: str) -> DataFrame:
     """``df`` with ``out`` = ``value`` of the row of ``table`` whose ``table_key`` equals ``key``.
 

@@ -3,16 +3,29 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.graph import pagerank, peel, spectral_radius, spread, walk_sum, weak_components
+from ledgerweave.operators.graph import pagerank, peel, spectral_radius, walk_sum, walk_terms, weak_components
+from ledgerweave.operators.lookups import broadcast_if_small, smallest
 from ledgerweave.plans.base import ANCHOR_SQL, PAIR_SQL, anchors, money, pairs, query, r6, stage, with_
 from ledgerweave.plans.events import hash8, hash8_sql
 from ledgerweave.plans.relational import degrees
 
 
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(addr, out_deg, in_deg, degree, own)"""
+    """(addr, id, out_deg, in_deg, degree, own); the ids are in the order of the addresses."""
     dim = anchors(spark, sf_dir).select("addr", F.lit(True).alias("own"))
-    return stage(spark, sf_dir, "degrees", lambda: degrees(pairs(spark, sf_dir)).join(F.broadcast(dim), "addr", "left").withColumn("own", F.coalesce("own", F.lit(False))))
+
+    def make() -> DataFrame:
+        d = degrees(pairs(spark, sf_dir)).join(broadcast_if_small(dim), "addr", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+        return d.repartitionByRange("addr").sortWithinPartitions("addr").withColumn("id", F.monotonically_increasing_id())
+
+    return stage(spark, sf_dir, "degrees", make)
+
+
+def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, v, cnt, w): the pairs with the ids of their ends."""
+    ids = graph_degrees(spark, sf_dir)
+    ends = [ids.select(F.col("addr").alias(a), F.col("id").alias(i)) for a, i in (("src", "u"), ("dst", "v"))]
+    return stage(spark, sf_dir, "numbered_pairs", lambda: pairs(spark, sf_dir).join(ends[0], "src").join(ends[1], "dst").select("u", "v", "cnt", "w"))
 
 
 DEG_SQL = "dg AS MATERIALIZED (SELECT addr, sum(o)::BIGINT AS out_deg, sum(i)::BIGINT AS in_deg, count(*) AS degree, addr IN (SELECT addr FROM anchor) AS own FROM (SELECT src AS addr, 1 AS o, 0 AS i FROM pair UNION ALL SELECT dst, 0, 1 FROM pair) GROUP BY 1)"
@@ -21,13 +34,14 @@ DEG_SQL = "dg AS MATERIALIZED (SELECT addr, sum(o)::BIGINT AS out_deg, sum(i)::B
 def matched(d: DataFrame, draws: int) -> DataFrame:
     """(draw, addr): per draw as many undesignated addresses of each degree as designated ones have it.
 
-    Candidates of a degree come in hash order; where a degree has too few, all of them are taken.
+    Candidates of a degree come in hash order; where a degree has too few, all of them are taken. Each draw
+    takes its smallest hashes of a degree in two steps (see ``smallest``), so no task sorts a whole degree.
     """
     want = d.filter("own").groupBy("degree").agg(F.count(F.lit(1)).alias("want"))
-    pool = d.filter("not own").join(F.broadcast(want), "degree")  # designated degrees: at most one row per anchor
-    pool = pool.crossJoin(F.broadcast(d.sparkSession.range(draws).withColumnRenamed("id", "draw")))
-    place = F.row_number().over(Window.partitionBy("draw", "degree").orderBy(hash8(F.lit("match"), "draw", "addr"), "addr"))
-    return pool.withColumn("place", place).filter(F.col("place") <= F.col("want")).select("draw", "addr")
+    pool = d.filter("not own").select("addr", "degree").join(broadcast_if_small(want), "degree")
+    pool = pool.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))))
+    pool = pool.withColumn("h", hash8(F.lit("match"), "draw", "addr"))
+    return smallest(pool, ["draw", "degree"], ["h", "addr"], "want", "addr").select("draw", "addr")
 
 
 def matched_sql(draws: int) -> str:
@@ -54,31 +68,57 @@ SETS_SQL = f"""{matched_sql(1)}, rs AS MATERIALIZED (SELECT 'designated' AS set_
 NAMES = ["none", "designated", "top", "random", "matched"]
 
 
+def set_numbers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(NAMES)), "tag bigint, set_name string")
+
+
+def gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tag, id) of the removal sets."""
+    named = removal_sets(spark, sf_dir).join(F.broadcast(set_numbers(spark)), "set_name")
+    return stage(spark, sf_dir, "gone", lambda: graph_degrees(spark, sf_dir).select("addr", "id").join(broadcast_if_small(named), "addr").select("tag", "id"))
+
+
+def tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tag, u, v, cnt, w): the pairs left under each removal set, all sets in one relation."""
+    tags = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(NAMES) - 1).cast("bigint"))).alias("tag")
+    e = numbered_pairs(spark, sf_dir).select(tags, "u", "v", "cnt", "w")
+    for c in ("u", "v"):
+        e = e.join(broadcast_if_small(gone(spark, sf_dir).withColumnRenamed("id", c)), ["tag", c], "left_anti")
+    return e.select("tag", "u", "v", "cnt", "w")
+
+
 def surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(set_name, src, dst, cnt, w): the pairs left under each removal set, all sets in one relation."""
-    every = spark.createDataFrame([(n,) for n in NAMES], "set_name string")
-    gone = removal_sets(spark, sf_dir)
-    e = pairs(spark, sf_dir).crossJoin(F.broadcast(every))
-    for c in ("src", "dst"):
-        e = e.join(F.broadcast(gone.withColumnRenamed("addr", c)), ["set_name", c], "left_anti")
-    return e.select("set_name", "src", "dst", "cnt", "w")
+    """(set_name, u, v, cnt, w)"""
+    return tagged_pairs(spark, sf_dir).join(F.broadcast(set_numbers(spark)), "tag").drop("tag")
 
 
 def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spark.createDataFrame([(n,) for n in NAMES], "set_name string")
-    return graph_degrees(spark, sf_dir).select("addr", "degree").crossJoin(F.broadcast(every)).join(F.broadcast(removal_sets(spark, sf_dir)), ["set_name", "addr"], "left_anti")
+    """(set_name, tag, id, addr, degree): the addresses that each set leaves."""
+    kept = graph_degrees(spark, sf_dir).select("id", "addr", "degree").crossJoin(F.broadcast(set_numbers(spark)))
+    return kept.join(broadcast_if_small(gone(spark, sf_dir)), ["tag", "id"], "left_anti")
+
+
+TAG = len(NAMES)
+
+
+def components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, root) of the whole graph."""
+    return stage(spark, sf_dir, "components", lambda: weak_components(numbered_pairs(spark, sf_dir), "u", "v").select(F.col("node").alias("id"), "root"))
 
 
 def tagged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(set_name, addr, comp) of all removal sets from one run, the set being part of the node's name."""
+    """(set_name, id, addr, comp) of all removal sets from one run, the set being part of the node's number.
+
+    The whole graph isn't run again. ``comp`` is the number of the component's least address.
+    """
 
     def make() -> DataFrame:
-        e = surviving(spark, sf_dir).select(F.concat_ws("|", "set_name", "src").alias("a"), F.concat_ws("|", "set_name", "dst").alias("b"))
-        c = weak_components(e, "a", "b")
-        got = c.select(F.substring_index("node", "|", 1).alias("set_name"), F.substring_index("node", "|", -1).alias("addr"), F.substring_index("root", "|", -1).alias("comp"))
-        return kept_nodes(spark, sf_dir).select("set_name", "addr").join(got, ["set_name", "addr"], "left").select("set_name", "addr", F.coalesce("comp", "addr").alias("comp"))
+        e = tagged_pairs(spark, sf_dir).filter("tag > 0").select((F.col("u") * TAG + F.col("tag")).alias("a"), (F.col("v") * TAG + F.col("tag")).alias("b"))
+        c = weak_components(e, "a", "b").select((F.col("node") % TAG).alias("tag"), F.floor(F.col("node") / TAG).alias("id"), F.floor(F.col("root") / TAG).alias("root"))
+        got = c.unionByName(components_of(spark, sf_dir).select(F.lit(0).cast("bigint").alias("tag"), "id", "root"))
+        return kept_nodes(spark, sf_dir).select("set_name", "tag", "id", "addr").join(got, ["tag", "id"], "left").select("set_name", "id", "addr", F.coalesce("root", "id").alias("comp"))
 
-    return stage(spark, sf_dir, "components", make)
+    return stage(spark, sf_dir, "tagged_components", make)
 
 
 CC_SQL = f"""nm AS (SELECT unnest({NAMES!r}) AS set_name), kn AS MATERIALIZED (SELECT nm.set_name, dg.addr, degree FROM dg CROSS JOIN nm WHERE NOT EXISTS (SELECT 1 FROM rs WHERE rs.set_name = nm.set_name AND rs.addr = dg.addr)),
@@ -97,7 +137,8 @@ def largest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH + "SELECT addr, comp FROM cc WHERE set_name = 'none'")
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagged_components(spark, sf_dir).filter("set_name = 'none'").select("addr", "comp")
+    c, d = components_of(spark, sf_dir), graph_degrees(spark, sf_dir).select("id", "addr")
+    return c.join(d, "id").join(d.select(F.col("id").alias("root"), F.col("addr").alias("comp")), "root").select("addr", "comp")
 
 
 @query(GRAPH + "SELECT set_name, count(DISTINCT comp) AS n_components, count(*) AS n_nodes FROM cc GROUP BY 1")
@@ -127,8 +168,8 @@ def q_removal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surviving pairs with whether both ends lie in the largest component (one end's component tells)."""
     comp = tagged_components(spark, sf_dir).join(F.broadcast(largest(spark, sf_dir).select("set_name", F.col("comp").alias("top"))), "set_name")
-    mark = comp.select("set_name", F.col("addr").alias("src"), (F.col("comp") == F.col("top")).alias("in_lcc"))
-    return surviving(spark, sf_dir).join(mark, ["set_name", "src"])
+    mark = comp.select("set_name", F.col("id").alias("u"), (F.col("comp") == F.col("top")).alias("in_lcc"))
+    return surviving(spark, sf_dir).join(mark, ["set_name", "u"])
 
 
 IN_SQL = "ins AS (SELECT ke.set_name, ke.cnt, ke.w, cc.comp = big.comp AS in_lcc FROM ke JOIN cc ON cc.set_name = ke.set_name AND cc.addr = ke.src JOIN big ON big.set_name = ke.set_name)"
@@ -152,8 +193,8 @@ def q_stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH + ", l AS (SELECT DISTINCT set_name, a AS addr FROM kb) SELECT set_name, count(*) FILTER (l.addr IS NULL) AS isolated, round(count(*) FILTER (l.addr IS NULL) / count(*), 8) AS share FROM kn LEFT JOIN l USING (set_name, addr) GROUP BY 1")
 def q_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = surviving(spark, sf_dir).select("set_name", F.explode(F.array("src", "dst")).alias("addr")).distinct().withColumn("on", F.lit(1))
-    x = kept_nodes(spark, sf_dir).join(linked, ["set_name", "addr"], "left").groupBy("set_name").agg(F.count_if(F.col("on").isNull()).alias("isolated"), F.count(F.lit(1)).alias("n"))
+    linked = tagged_pairs(spark, sf_dir).select("tag", F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("on", F.lit(1))
+    x = kept_nodes(spark, sf_dir).join(linked, ["tag", "id"], "left").groupBy("set_name").agg(F.count_if(F.col("on").isNull()).alias("isolated"), F.count(F.lit(1)).alias("n"))
     return x.select("set_name", "isolated", F.round(F.col("isolated") / F.col("n"), 8).alias("share"))
 
 
@@ -168,19 +209,14 @@ def q_dropped_decomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("set_name").agg(F.count(F.lit(1)).alias("dropped"), F.round(F.avg((F.col("degree") == 1).cast("double")), 8).alias("degree_one"))
 
 
-PEELS = 4
-
+_CORE_SQL = """core(k, src, dst, n, before) AS (SELECT 0, src, dst, count(*) OVER (), -1::BIGINT FROM pair UNION ALL
+  SELECT k + 1, src, dst, count(*) OVER (), n FROM (SELECT * FROM core WHERE n <> before) c WHERE src NOT IN (SELECT x FROM (SELECT unnest([src, dst]) AS x FROM core WHERE n <> before) GROUP BY 1 HAVING count(*) <= 1)
+    AND dst NOT IN (SELECT x FROM (SELECT unnest([src, dst]) AS x FROM core WHERE n <> before) GROUP BY 1 HAVING count(*) <= 1))"""
 
-def _peel_sql(n: int) -> str:
-    parts = ["c0 AS (SELECT src, dst FROM pair)"]
-    for k in range(n):
-        parts.append(f"w{k} AS MATERIALIZED (SELECT x FROM (SELECT src AS x FROM c{k} UNION ALL SELECT dst FROM c{k}) GROUP BY 1 HAVING count(*) <= 1), c{k + 1} AS MATERIALIZED (SELECT * FROM c{k} WHERE src NOT IN (SELECT x FROM w{k}) AND dst NOT IN (SELECT x FROM w{k}))")
-    return ", ".join(parts)
 
-
-@query(f"WITH {PAIR_SQL}, {_peel_sql(PEELS)} SELECT src, dst FROM c{PEELS}")
+@query(f"WITH RECURSIVE {PAIR_SQL}, {_CORE_SQL} SELECT src, dst FROM core WHERE k = (SELECT max(k) FROM core)")
 def q_two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact 2-core; the SQL stops after four peeling passes."""
+    """The exact 2-core."""
     return peel(pairs(spark, sf_dir))
 
 
@@ -214,7 +250,7 @@ def q_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("scope", F.explode(scope)).groupBy("scope").agg(F.count(F.lit(1)).alias("n_pairs"), money(F.sum("w")).alias("volume"), F.count_if(touch).alias("touching"))
 
 
-DRAWS = 50
+DRAWS = 200
 
 
 @query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL, matched_sql(5)) + "SELECT * FROM mt")
@@ -238,7 +274,7 @@ def isolated_by(spark: SparkSession, sf_dir: str, sets: DataFrame) -> DataFrame:
   al AS (SELECT draw, coalesce(n, 0) AS n FROM (SELECT DISTINCT draw FROM st) LEFT JOIN lo USING (draw)), ob AS (SELECT n AS o FROM al WHERE draw = -1)
   SELECT count(*) AS draws, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS sd, round(quantile_cont(n, 0.025), 6) AS low, round(quantile_cont(n, 0.975), 6) AS high, any_value(o) AS observed, round(100 * avg(CASE WHEN n < o THEN 1.0 ELSE 0 END), 6) AS percentile FROM al CROSS JOIN ob WHERE draw >= 0""")
 def q_draw_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolated addresses of the designated set against 50 sets matched by degree, all in one job."""
+    """Isolated addresses of the designated set against 200 sets matched by degree, all in one job."""
     d = graph_degrees(spark, sf_dir)
     sets = matched(d, DRAWS).union(d.filter("own").select(F.lit(-1).cast("bigint").alias("draw"), "addr"))
     n = isolated_by(spark, sf_dir, sets)
@@ -268,16 +304,15 @@ def q_degree_rank_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("n_own"), F.round(F.avg((F.col("rk") < F.floor(F.col("n") / 100)).cast("double")), 8).alias("in_top_1pct"), F.count_if(F.col("rk") < 1000).alias("in_top_1000"), F.round(F.median("rk"), 2).alias("median_rank"))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    parts = ["od AS MATERIALIZED (SELECT src, count(*) AS d FROM pair GROUP BY 1), un AS MATERIALIZED (SELECT src AS x FROM pair UNION SELECT dst FROM pair), nn AS (SELECT count(*) AS n FROM un), r0 AS (SELECT x, 1.0::DOUBLE / n AS r FROM un, nn)"]
-    for k in range(rounds):
-        parts.append(f"g{k} AS (SELECT dst AS x, sum(r / d) AS g FROM pair JOIN od ON od.src = pair.src JOIN r{k} ON r{k}.x = pair.src GROUP BY 1), l{k} AS (SELECT coalesce(sum(r), 0) AS l FROM r{k} WHERE x NOT IN (SELECT src FROM od)), r{k + 1} AS MATERIALIZED (SELECT un.x, 0.85::DOUBLE * (coalesce(g, 0) + l / n) + 0.15::DOUBLE / n AS r FROM un LEFT JOIN g{k} ON g{k}.x = un.x, l{k}, nn)")
-    return ", ".join(parts)
+_PAGERANK_SQL = """od AS MATERIALIZED (SELECT src, count(*) AS d FROM pair GROUP BY 1), un AS MATERIALIZED (SELECT x, count(*) OVER ()::DOUBLE AS n, od.src IS NULL AS loose FROM (SELECT src AS x FROM pair UNION SELECT dst FROM pair) LEFT JOIN od ON od.src = x),
+  pr(k, x, n, loose, r, change) AS (SELECT 0, x, n, loose, 1.0::DOUBLE / n, 1.0::DOUBLE FROM un UNION ALL
+    SELECT k + 1, x, n, loose, nr, sum(abs(nr - r)) OVER () FROM (SELECT k, o.x, n, loose, r, 0.85::DOUBLE * (coalesce(g, 0) + coalesce(sum(CASE WHEN loose THEN r END) OVER (), 0) / n) + 0.15::DOUBLE / n AS nr
+      FROM (SELECT * FROM pr WHERE change >= 1e-10 AND k < 100) o LEFT JOIN (SELECT dst AS x, sum(r / d) AS g FROM pr JOIN pair ON pair.src = pr.x JOIN od ON od.src = pr.x GROUP BY 1) i ON i.x = o.x))"""
 
 
-@query(f"WITH {PAIR_SQL}, {_pagerank_sql(10)} SELECT x AS addr, round(r * 1e6, 4) AS rank_ppm FROM r10")
+@query(f"WITH RECURSIVE {PAIR_SQL}, {_PAGERANK_SQL} SELECT x AS addr, round(r * 1e6, 4) AS rank_ppm FROM pr WHERE k = (SELECT max(k) FROM pr)")
 def q_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Until the ranks change by less than 1e-10 in sum, or a hundred rounds; the SQL stops after ten."""
+    """Until the ranks change by less than 1e-10 in sum, or a hundred rounds."""
     return pagerank(pairs(spark, sf_dir).select("src", "dst"), 100).select(F.col("node").alias("addr"), F.round(F.col("r") * 1e6, 4).alias("rank_ppm"))
 
 
@@ -286,10 +321,6 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("src", "dst", p.alias("weight"))
 
 
-def ones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_degrees(spark, sf_dir).select(F.col("addr").alias("node"), F.lit(1.0).alias("x"))
-
-
 def _spread_sql(steps: int, damping: float = 1.0) -> str:
     parts = ["pw AS MATERIALIZED (SELECT src, dst, greatest(1e-6, least(1, ln(1 + CAST(w AS DOUBLE)) * 0.1 / ln(1 + 1e8))) AS p FROM pair), x0 AS (SELECT x, 1.0::DOUBLE AS v FROM (SELECT src AS x FROM pair UNION SELECT dst FROM pair))"]
     for k in range(1, steps + 1):
@@ -305,13 +336,20 @@ def q_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(addr, score): expected reach over up to 15 steps, as a share of the largest."""
-    c = stage(spark, sf_dir, "reach", lambda: spread(weighted(spark, sf_dir), ones(spark, sf_dir), 15).groupBy("node").agg(F.sum("x").alias("c")))
+    c = stage(spark, sf_dir, "reach", lambda: walk_terms(weighted(spark, sf_dir), 15).groupBy("node").agg(F.sum("x").alias("c")))
     return c.crossJoin(F.broadcast(c.agg(F.max("c").alias("top")))).select(F.col("node").alias("addr"), r6(F.col("c") / F.col("top")).alias("score"))
 
 
-@query(f"WITH {PAIR_SQL}, {_spread_sql(20, 0.5)}, c AS (SELECT x, sum(v) AS c FROM xs GROUP BY 1) SELECT x AS addr, round(c / (SELECT max(c) FROM c), 6) AS score FROM c")
+_RADIUS_SQL = """pe AS MATERIALIZED (SELECT src, dst, greatest(1e-6, least(1, ln(1 + CAST(w AS DOUBLE)) * 0.1 / ln(1 + 1e8))) AS p FROM pair),
+  pm(k, x, v, norm) AS (SELECT 0, x, 1.0::DOUBLE, 1.0::DOUBLE FROM (SELECT src AS x FROM pair UNION SELECT dst FROM pair) UNION ALL
+    SELECT k + 1, x, v, sqrt(sum(v * v) OVER ()) FROM (SELECT k, dst AS x, sum(p * v / norm) AS v FROM pm JOIN pe ON pe.src = pm.x WHERE k < 201 GROUP BY 1, 2)),
+  rho AS MATERIALIZED (SELECT coalesce((SELECT any_value(norm) FROM pm WHERE k = 201), 0) AS rho)"""
+_KATZ_SQL = """kz(k, x, v) AS (SELECT 0, x, v FROM pm WHERE k = 0 UNION ALL SELECT k + 1, dst, sum(p * v) * any_value(CASE WHEN rho > 0 THEN 0.5 / rho ELSE 0.5 END) FROM kz JOIN pe ON pe.src = kz.x, rho WHERE k < 60 GROUP BY 1, 2), c AS (SELECT x, sum(v) AS c FROM kz WHERE k > 0 GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {PAIR_SQL}, {_RADIUS_SQL}, {_KATZ_SQL} SELECT x AS addr, round(c / (SELECT max(c) FROM c), 6) AS score FROM c")
 def q_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty steps damped by half of what would keep them from dying out; the SQL takes 20 steps of half the weight."""
+    """Sixty steps damped by half of what would keep them from dying out."""
     rho = radius(spark, sf_dir).first()["radius"]
     # without a cycle the terms end by themselves, whatever the damping
     c = stage(spark, sf_dir, "katz", lambda: walk_sum(weighted(spark, sf_dir), 60, 0.5 / rho if rho else 0.5))
@@ -320,13 +358,13 @@ def q_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIR_SQL}, {_spread_sql(15)}, s AS (SELECT k, sum(v) AS total, max(v) AS top FROM xs GROUP BY 1) SELECT k::BIGINT AS k, round(total, 4) AS total, round(top, 6) AS top, round(total / lag(total) OVER (ORDER BY k), 6) AS growth FROM s")
 def q_term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spread(weighted(spark, sf_dir), ones(spark, sf_dir), 15).groupBy("k").agg(F.sum("x").alias("total"), F.max("x").alias("top"))
+    s = walk_terms(weighted(spark, sf_dir), 15).groupBy("k").agg(F.sum("x").alias("total"), F.max("x").alias("top"))
     return s.select("k", F.round("total", 4).alias("total"), r6(F.col("top")).alias("top"), r6(F.col("total") / F.lag("total").over(Window.orderBy("k"))).alias("growth"))
 
 
-@query(f"WITH {PAIR_SQL}, {_spread_sql(12)}, n AS (SELECT k, sqrt(sum(v * v)) AS n FROM xs GROUP BY 1) SELECT round((SELECT n FROM n WHERE k = 12) / (SELECT n FROM n WHERE k = 11), 6) AS radius, (SELECT round(max(s), 6) FROM (SELECT sum(p) AS s FROM pw GROUP BY src)) AS max_row_sum")
+@query(f"WITH RECURSIVE {PAIR_SQL}, {_RADIUS_SQL} SELECT round(rho, 6) AS radius, (SELECT round(max(s), 6) FROM (SELECT sum(p) AS s FROM pe GROUP BY src)) AS max_row_sum FROM rho")
 def q_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth of the norm after 200 steps of the power method, and the largest row sum; the SQL takes the twelfth step."""
+    """Growth of the norm after 200 steps of the power method, and the largest row sum."""
     rows = weighted(spark, sf_dir).groupBy("src").agg(F.sum("weight").alias("s")).agg(r6(F.max("s")).alias("max_row_sum"))
     return radius(spark, sf_dir).crossJoin(rows).select(r6(F.col("radius")).alias("radius"), "max_row_sum")
 

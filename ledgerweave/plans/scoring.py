@@ -266,16 +266,19 @@ def q_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(value),)], "silhouette double")
 
 
-CASCADE_SOURCES, CASCADE_DRAWS, CASCADE_STEPS = 64, 3, 6
+CASCADE_DRAWS = 3
 
+CASCADE_SQL = f"""pw AS (SELECT src, dst, greatest(1e-6, least(1, ln(1 + CAST(w AS DOUBLE)) * 0.1 / ln(1 + 1e8))) AS p FROM pair), dr AS (SELECT unnest(range({CASCADE_DRAWS})) AS draw),
+  lv AS MATERIALIZED (SELECT draw, src, dst FROM pw CROSS JOIN dr WHERE {hash8_sql("'live'", 'draw', 'src', 'dst')} < p * 4294967296),
+  re(draw, source, node) AS (SELECT draw, src, dst FROM lv UNION SELECT re.draw, source, dst FROM re JOIN lv ON lv.draw = re.draw AND lv.src = re.node),
+  hi AS (SELECT node AS addr, count(*) AS hits FROM re WHERE node <> source GROUP BY 1),
+  ca AS MATERIALIZED (SELECT addr, coalesce(hits, 0) AS hits, coalesce(hits, 0) / (count(*) OVER () * {CASCADE_DRAWS}) AS coverage FROM dg LEFT JOIN hi USING (addr))"""
 
-@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f""", pw AS (SELECT src, dst, greatest(1e-6, least(1, ln(1 + CAST(w AS DOUBLE)) * 0.1 / ln(1 + 1e8))) AS p FROM pair), dr AS (SELECT unnest(range({CASCADE_DRAWS})) AS draw),
-  lv AS MATERIALIZED (SELECT draw, src, dst FROM pw CROSS JOIN dr WHERE {hash8_sql("'live'", 'draw', 'src', 'dst')} < p * 4294967296), so AS (SELECT addr FROM dg ORDER BY {hash8_sql("'source'", 'addr')}, addr LIMIT {CASCADE_SOURCES}),
-  re(draw, source, node, step) AS (SELECT draw, addr, addr, 0 FROM so CROSS JOIN dr UNION SELECT re.draw, source, dst, step + 1 FROM re JOIN lv ON lv.draw = re.draw AND lv.src = re.node WHERE step < {CASCADE_STEPS})
-  SELECT node AS addr, count(DISTINCT (draw, source)) AS hits, round(count(DISTINCT (draw, source)) / {CASCADE_SOURCES * CASCADE_DRAWS}, 8) AS coverage FROM re WHERE step > 0 AND node <> source GROUP BY 1""")
+
+@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {CASCADE_SQL} SELECT addr, hits, coverage FROM ca")
 def q_cascade_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent cascades as reachability over edges that a hashed coin keeps alive, from every address, without a
-    limit of steps; an address that no other one reaches has no hits. The SQL follows 64 sources over six steps.
+    limit of steps; an address that no other one reaches has no hits.
     """
     w = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.log1p(F.col("w").cast("double")) * 0.1 / F.log1p(F.lit(1e8))))
     draws = F.broadcast(spark.range(CASCADE_DRAWS).withColumnRenamed("id", "draw"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from ledgerweave.operators.graph import betweenness
 from ledgerweave.plans import extras
 
@@ -32,14 +34,15 @@ def dependencies(edges, pivots):
     return score
 
 
-def test_long_paths_and_more_than_sixteen_pivots_count(spark, monkeypatch):
+@pytest.mark.parametrize("compact", [0, 1000])
+def test_long_paths_and_more_than_sixteen_pivots_count(spark, monkeypatch, compact):
     rng = random.Random(4)
     edges = sorted({(f"p{i:02d}", f"p{i + 1:02d}") for i in range(12)} | {(f"r{rng.randrange(20):02d}", f"r{rng.randrange(20):02d}") for _ in range(40)} | {("p03", "r05"), ("solo", "solo")})
     df = spark.createDataFrame(edges, "src string, dst string")
     names = sorted({x for e in edges for x in e})
     want = dependencies(edges, names)
     few = spark.createDataFrame([("p00",), ("r05",), ("solo",)], "node string")
-    got = {r["node"]: r["score"] for r in betweenness(df, few, rows=40).collect()}
+    got = {r["node"]: r["score"] for r in betweenness(df, few, rows=40, compact=compact).collect()}
     part = dependencies(edges, ["p00", "r05"])
     assert set(got) == set(part) and all(abs(got[x] - part[x]) < 1e-9 for x in part)
     monkeypatch.setattr(extras, "pairs", lambda spark, sf_dir: df)
