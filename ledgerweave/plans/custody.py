@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.ledger import DAY_MS
 from ledgerweave.operators.chunks import RANK, running_total
+from ledgerweave.operators.lookups import broadcast_if_small
 from ledgerweave.operators.passage import first_below
 from ledgerweave.plans.base import ACT_SQL, ANCHOR_SQL, END_MS, FREEZE_SQL, LABEL_SQL, PAIR_SQL, T_SQL, activity, anchors, freezes, labels, money, pairs, query, r6, stage, transfers, with_
 from ledgerweave.plans.events import CUT, SERIES_SQL, about, counterparties, series, summary_columns, summary_sql, wk
@@ -13,7 +14,7 @@ HOUR_MS = 3_600_000
 
 
 def frozen_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors(spark, sf_dir).join(F.broadcast(freezes(spark, sf_dir)), "addr")
+    return anchors(spark, sf_dir).join(broadcast_if_small(freezes(spark, sf_dir)), "addr")
 
 
 FZ_SQL = f"{FREEZE_SQL}, fz AS MATERIALIZED (SELECT anchor.*, frozen FROM anchor JOIN freeze_ev ON anchor.addr = freeze_ev.addr)"
@@ -117,7 +118,7 @@ def q_peak_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT mk.addr, mark, CAST(coalesce(sum(CASE dir WHEN 'in' THEN v ELSE -v END), 0) AS DOUBLE) AS balance FROM mk LEFT JOIN act ON act.addr = mk.addr AND ms <= mark_ms AND cp <> act.addr GROUP BY 1, 2""")
 def q_balance_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance at each mark: one pass over the activity, summing what lies at or before it."""
-    a = anchors(spark, sf_dir).join(F.broadcast(freezes(spark, sf_dir)), "addr", "left")
+    a = anchors(spark, sf_dir).join(broadcast_if_small(freezes(spark, sf_dir)), "addr", "left")
     marks = F.array(*[F.struct(F.lit(k).alias("mark"), F.col(k).alias("at")) for k in ("signed", "published", "frozen")])
     marks = a.select("addr", F.explode(marks).alias("m")).select("addr", "m.*").filter("at is not null")
     act = about(activity(spark, sf_dir).filter("cp <> addr"), anchors(spark, sf_dir).select("addr"))
@@ -189,7 +190,7 @@ def q_custody_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(PAIR_SQL, ANCHOR_SQL) + "SELECT src, dst, CAST(w AS DOUBLE) AS volume, place FROM (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM pair WHERE src IN (SELECT addr FROM anchor)) WHERE place <= 2")
 def q_top_counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = anchors(spark, sf_dir).select(F.col("addr").alias("src"))
-    p = pairs(spark, sf_dir).join(F.broadcast(dim), "src", "left_semi")
+    p = pairs(spark, sf_dir).join(broadcast_if_small(dim), "src", "left_semi")
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
     return p.withColumn("place", place.cast("bigint")).filter("place <= 2").select("src", "dst", money("w").alias("volume"), "place")
 
@@ -287,7 +288,7 @@ _DAY_SQL = "DATE '1970-01-01' + CAST(ms // 86400000 AS INT)"
   SELECT CAST(sp.month AS VARCHAR) AS month, CAST(coalesce(sum(v), 0) AS DOUBLE) AS volume, CAST(coalesce(sum(v) FILTER (own), 0) AS DOUBLE) AS designated, count(DISTINCT addr) AS n_active FROM sp LEFT JOIN m ON sp.month = m.month GROUP BY 1""")
 def q_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = anchors(spark, sf_dir).select("addr", F.lit(True).alias("own"))
-    rows = activity(spark, sf_dir).filter(F.col("ms") < END_MS).join(F.broadcast(dim), "addr", "left").withColumn("month", month_start("ms"))
+    rows = activity(spark, sf_dir).filter(F.col("ms") < END_MS).join(broadcast_if_small(dim), "addr", "left").withColumn("month", month_start("ms"))
     per = rows.groupBy("month", "addr").agg(F.sum("v").alias("v"), F.first("own").alias("own"))
     per = per.groupBy("month").agg(F.sum("v").alias("volume"), F.sum(F.when(F.col("own"), F.col("v"))).alias("designated"), F.count(F.lit(1)).alias("n_active"))
     span = per.agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))).alias("month"))
@@ -303,7 +304,7 @@ def appeal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers to the address with most of them."""
     t = transfers(spark, sf_dir)
     busy = t.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1).select("dst")
-    return t.join(F.broadcast(busy), "dst", "left_semi")
+    return t.join(broadcast_if_small(busy), "dst", "left_semi")
 
 
 @query(f"WITH {T_SQL}, {BUSY_SQL}, sp AS (SELECT CAST(unnest(range((SELECT min({_DAY_SQL}) FROM ap), (SELECT max({_DAY_SQL}) FROM ap) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(sp.day AS VARCHAR) AS day, count(v) AS n, count(DISTINCT src) AS donors, CAST(coalesce(sum(v), 0) AS DOUBLE) AS volume FROM sp LEFT JOIN ap ON sp.day = {_DAY_SQL} GROUP BY 1")
@@ -346,7 +347,7 @@ def q_post_event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = tags(spark, sf_dir).select(F.col("addr").alias("cp"), "cex")
     out = about(activity(spark, sf_dir).filter("dir = 'out' and cp <> addr"), frozen_anchors(spark, sf_dir)).filter("ms >= signed and ms < frozen")
     kind = F.when(F.col("own"), "anchor").when(F.col("cex"), "exchange").when(F.col("cex").isNotNull(), "labelled").otherwise("unlabelled")
-    x = out.join(F.broadcast(own), "cp", "left").join(tag, "cp", "left").groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cp").alias("n_cp"), F.sum("v").alias("v"))
+    x = out.join(broadcast_if_small(own), "cp", "left").join(tag, "cp", "left").groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cp").alias("n_cp"), F.sum("v").alias("v"))
     return x.select("category", "n", "n_cp", money("v").alias("volume"), F.round(money("v") / money(F.sum("v").over(Window.partitionBy())), 8).alias("share"))
 
 
@@ -361,7 +362,7 @@ def q_recipient_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(PAIR_SQL, ANCHOR_SQL) + "SELECT (SELECT count(*) FROM t) AS n_all, count(*) AS n_kept, round(count(*) / (SELECT count(*) FROM t), 8) AS ratio FROM t WHERE src IN (SELECT addr FROM anchor) OR dst IN (SELECT addr FROM anchor)")
 def q_capture_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = anchors(spark, sf_dir).select("addr")
-    mark = lambda df, c: df.join(F.broadcast(dim.select(F.col("addr").alias(c), F.lit(1).alias(f"is_{c}"))), c, "left")
+    mark = lambda df, c: df.join(broadcast_if_small(dim.select(F.col("addr").alias(c), F.lit(1).alias(f"is_{c}"))), c, "left")
     t = mark(mark(transfers(spark, sf_dir).select("src", "dst"), "src"), "dst")
     n = t.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("is_src").isNotNull() | F.col("is_dst").isNotNull()).alias("n_kept"))
     return n.withColumn("ratio", F.round(F.col("n_kept") / F.col("n_all"), 8))
@@ -378,10 +379,14 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, other, pre_n, post_n): how many prior counterparties of an order deal with each other address."""
     anchor = anchors(spark, sf_dir)
     cut = anchor.select("addr", "ord", F.greatest("signed", F.coalesce("published", "signed")).alias("cut"))
-    dim = anchor.select(F.col("addr").alias("cp"))
-    act = activity(spark, sf_dir).select("addr", "cp", "v", "ms").join(F.broadcast(dim), "cp", "left_anti")
-    cps = about(act, cut).filter("ms < cut").groupBy("ord", F.col("cp").alias("addr")).agg(F.min("cut").alias("cut"))
-    mv = act.join(cps, "addr").groupBy("ord", "addr", F.col("cp").alias("other")).agg(F.sum(F.when(F.col("ms") <= F.col("cut"), F.col("v"))).alias("pre"), F.sum(F.when(F.col("ms") > F.col("cut"), F.col("v"))).alias("post"))
+    dim = broadcast_if_small(anchor.select(F.col("addr").alias("cp")))
+    cps = about(activity(spark, sf_dir).join(dim, "cp", "left_anti"), cut).filter("ms < cut").groupBy("ord", F.col("cp").alias("addr")).agg(F.min("cut").alias("cut"))
+    # dates of orders, which the designation list bounds, cut time into periods: volumes are summed by period before they meet the orders
+    dates = cut.agg(F.array_sort(F.collect_set("cut")).alias("dates"))
+    act = activity(spark, sf_dir).select("addr", "cp", "v", "ms").join(dim, "cp", "left_anti").crossJoin(F.broadcast(dates))
+    flows = act.groupBy("addr", "cp", F.size(F.filter("dates", lambda d: d < F.col("ms"))).alias("period")).agg(F.sum("v").alias("v"))
+    due = cps.crossJoin(F.broadcast(dates)).select("ord", "addr", (F.array_position("dates", F.col("cut")) - 1).alias("at"))
+    mv = flows.join(due, "addr").groupBy("ord", "addr", F.col("cp").alias("other")).agg(F.sum(F.when(F.col("period") <= F.col("at"), F.col("v"))).alias("pre"), F.sum(F.when(F.col("period") > F.col("at"), F.col("v"))).alias("post"))
     return mv.groupBy("ord", "other").agg(F.count_if(F.col("pre") >= FLOOR).alias("pre_n"), F.count_if(F.col("post") >= FLOOR).alias("post_n"))
 
 
@@ -401,15 +406,19 @@ SUCC_SQL = """rc AS MATERIALIZED (SELECT l.addr, count(DISTINCT c.cp) FILTER (ac
 
 
 def succession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later designated addresses: how many prior counterparties of earlier ones they reached, and their degree."""
+    """Later designated addresses: how many prior counterparties of earlier ones they reached, and their degree.
+
+    The transfers with a counterparty come down to the first and the last, and the designated addresses that
+    dealt with it to one list, so that no counterparty multiplies rows.
+    """
     anchor = anchors(spark, sf_dir)
-    act = activity(spark, sf_dir)
-    mine = about(act, anchor.select("addr", "signed"))
-    prior = mine.filter("ms < signed").select("cp", F.col("addr").alias("via"), F.col("signed").alias("via_signed")).distinct()
-    links = mine.join(prior, "cp", "left").withColumn("ok", (F.col("via_signed") < F.col("signed")) & (F.col("via") != F.col("addr")))
-    # the same counterparty may be reached over several earlier addresses
-    n = lambda c: F.countDistinct(F.when(F.col("ok") & c, F.col("cp")))
-    return links.groupBy("addr").agg(n(F.col("ms") < F.col("via_signed")).alias("before_n"), n(F.col("ms") >= F.col("via_signed")).alias("after_n"), F.countDistinct("cp").alias("degree"))
+    mine = about(activity(spark, sf_dir), anchor.select("addr", "signed"))
+    ways = mine.groupBy("addr", "signed", "cp").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    prior = ways.filter("first < signed").groupBy("cp").agg(F.collect_set(F.struct("addr", "signed")).alias("vias"))
+    links = ways.join(prior, "cp", "left")
+    earlier = lambda v: (v["signed"] < F.col("signed")) & (v["addr"] != F.col("addr"))
+    n = lambda c: F.count_if(F.coalesce(F.exists("vias", c), F.lit(False)))
+    return links.groupBy("addr").agg(n(lambda v: earlier(v) & (F.col("first") < v["signed"])).alias("before_n"), n(lambda v: earlier(v) & (F.col("last") >= v["signed"])).alias("after_n"), F.count(F.lit(1)).alias("degree"))
 
 
 @query(with_(ACT_SQL, ANCHOR_SQL, SUCC_SQL) + "SELECT * FROM rc")
@@ -417,10 +426,33 @@ def q_succession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return succession(spark, sf_dir)
 
 
-@query(with_(ACT_SQL, ANCHOR_SQL, SUCC_SQL) + "SELECT a.addr, count(b.addr) AS band, round(100 * avg(CASE WHEN b.after_n < a.after_n THEN 1.0 ELSE 0 END), 6) AS percentile FROM rc a JOIN rc b ON b.degree * 2 >= a.degree AND b.degree <= a.degree * 2 AND b.addr <> a.addr GROUP BY 1")
+NULL_SQL = """cpm AS (SELECT act.cp, min(x.signed) AS s0 FROM act JOIN anchor x ON act.addr = x.addr WHERE ms < x.signed GROUP BY 1),
+lk AS MATERIALIZED (SELECT act.addr, act.cp, s0 FROM act JOIN cpm ON cpm.cp = act.cp WHERE act.addr NOT IN (SELECT addr FROM anchor) GROUP BY 1, 2, 3 HAVING max(ms) >= s0),
+dgx AS MATERIALIZED (SELECT addr, count(DISTINCT cp) AS deg FROM act WHERE addr NOT IN (SELECT addr FROM anchor) GROUP BY 1),
+rch AS MATERIALIZED (SELECT t.signed, lk.addr, count(*) AS reach FROM (SELECT DISTINCT signed FROM anchor) t JOIN lk ON s0 < t.signed GROUP BY 1, 2)"""
+
+
+@query(with_(ACT_SQL, ANCHOR_SQL, SUCC_SQL, NULL_SQL) + """SELECT rc.addr, count(*) AS band, round(100 * avg(CASE WHEN coalesce(reach, 0) < after_n THEN 1.0 ELSE 0 END), 6) AS percentile FROM rc JOIN anchor USING (addr)
+  JOIN dgx ON dgx.deg * 2 >= rc.degree AND dgx.deg <= rc.degree * 2 LEFT JOIN rch ON rch.addr = dgx.addr AND rch.signed = anchor.signed GROUP BY 1""")
 def q_size_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reach against designated addresses of half to twice the degree; both sides are designated, so few."""
-    r = succession(spark, sf_dir)
-    b = r.select(F.col("addr").alias("x"), F.col("after_n").alias("other"), F.col("degree").alias("deg"))
-    near = (F.col("deg") * 2 >= F.col("degree")) & (F.col("deg") <= F.col("degree") * 2) & (F.col("x") != F.col("addr"))
-    return r.join(b, near).groupBy("addr").agg(F.count(F.lit(1)).alias("band"), r6(F.avg((F.col("other") < F.col("after_n")).cast("double")) * 100).alias("percentile"))
+    """Reach of designated addresses against undesignated ones of half to twice their degree.
+
+    An undesignated address reaches a prior counterparty from the first order that made it one, so its reach
+    by the date of each order is a count of such firsts. Addresses are counted by degree and reach; only these
+    counts meet the designated ones.
+    """
+    anchor = anchors(spark, sf_dir).select("addr", "signed")
+    act = activity(spark, sf_dir)
+    first = about(act, anchor).filter("ms < signed").groupBy("cp").agg(F.min("signed").alias("s0"))
+    dates = anchor.agg(F.array_sort(F.collect_set("signed")).alias("dates"))
+    ways = act.groupBy("addr", "cp").agg(F.max("ms").alias("last")).join(broadcast_if_small(anchor.select("addr")), "addr", "left_anti").join(broadcast_if_small(first), "cp", "left")
+    # (addr, deg, thresholds): from which dates on it reached one more
+    each = ways.groupBy("addr", F.when(F.col("last") >= F.col("s0"), F.col("s0")).alias("s0")).agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("addr").agg(F.sum("n").alias("deg"), F.collect_list(F.when(F.col("s0").isNotNull(), F.struct("s0", "n"))).alias("steps"))
+    linked = each.filter(F.size("steps") > 0).crossJoin(F.broadcast(dates)).select("deg", "steps", F.explode("dates").alias("signed"))
+    reach = F.aggregate(F.filter("steps", lambda x: x["s0"] < F.col("signed")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    counts = linked.groupBy("deg", "signed", reach.alias("reach")).agg(F.count(F.lit(1)).alias("n"))
+    idle = each.filter(F.size("steps") == 0).groupBy("deg").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(dates)).select("deg", F.explode("dates").alias("signed"), F.lit(0).cast("bigint").alias("reach"), "n")
+    r = succession(spark, sf_dir).join(broadcast_if_small(anchor), "addr")
+    met = counts.unionByName(idle).join(broadcast_if_small(r), "signed").filter((F.col("deg") * 2 >= F.col("degree")) & (F.col("deg") <= F.col("degree") * 2))
+    return met.groupBy("addr").agg(F.sum("n").alias("band"), r6(F.sum(F.when(F.col("reach") < F.col("after_n"), F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("percentile"))

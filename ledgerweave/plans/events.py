@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ledger import DAY_MS
+from ledgerweave.operators.lookups import broadcast_if_small, smallest
 from ledgerweave.plans.base import (
     ACT_SQL,
     ANCHOR_SQL,
@@ -25,7 +26,7 @@ CUT = END_MS - 90 * DAY_MS
 
 def about(act: DataFrame, dim: DataFrame) -> DataFrame:
     """Activity of the addresses of a small dimension, which has one row per address."""
-    return act.join(F.broadcast(dim), "addr") if dim.limit(20_001).count() <= 20_000 else act.join(dim, "addr")
+    return act.join(broadcast_if_small(dim), "addr")
 
 
 def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(addr, first_signed): not designated, in contact with an anchor before its order."""
     anchor = anchors(spark, sf_dir)
     before = about(activity(spark, sf_dir), anchor).filter("ms < signed").groupBy(F.col("cp").alias("addr")).agg(F.min("signed").alias("first_signed"))
-    return before.join(F.broadcast(anchor.select("addr")), "addr", "left_anti")
+    return before.join(broadcast_if_small(anchor.select("addr")), "addr", "left_anti")
 
 
 TIMING_SQL = f"""pr AS (SELECT addr, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n FROM act GROUP BY 1),
@@ -115,7 +116,7 @@ def q_largest_order_io(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(A_SQL) + "SELECT CAST(sum(v) FILTER (dir = 'in') AS DOUBLE) AS inflow, CAST(sum(v) FILTER (dir = 'out') AS DOUBLE) AS outflow, count(*) FILTER (dir = 'in') AS n_in, count(*) FILTER (dir = 'out') AS n_out, count(DISTINCT cp) FILTER (cp NOT IN (SELECT addr FROM anchor)) AS hop1 FROM a")
 def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = anchors(spark, sf_dir).select(F.col("addr").alias("cp"), F.lit(True).alias("own"))
-    a = anchored(spark, sf_dir).join(F.broadcast(dim), "cp", "left")
+    a = anchored(spark, sf_dir).join(broadcast_if_small(dim), "cp", "left")
     side = lambda d: F.when(F.col("dir") == d, F.col("v"))
     return a.agg(
         money(F.sum(side("in"))).alias("inflow"),
@@ -199,7 +200,7 @@ def q_event_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trend before the order of the share of fully covered anchors that are active."""
     cov = timing(spark, sf_dir).filter((F.col("first_ms") <= F.col("signed") - W * WEEK_MS) & (F.col("signed") + W * WEEK_MS <= END_MS)).select("addr")
-    x = anchored(spark, sf_dir).join(F.broadcast(cov), "addr", "left_semi").select("addr", wk().alias("wk")).distinct().groupBy("wk").count()
+    x = anchored(spark, sf_dir).join(broadcast_if_small(cov), "addr", "left_semi").select("addr", wk().alias("wk")).distinct().groupBy("wk").count()
     n = cov.agg(F.count(F.lit(1)).alias("n_covered"))
     s = spine(spark).filter("wk < 0").join(x, "wk", "left").crossJoin(F.broadcast(n))
     share = F.lit(100.0) * F.coalesce("count", F.lit(0)) / F.greatest("n_covered", F.lit(1))
@@ -208,7 +209,7 @@ def q_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(addr, ord, kind, event): the three definitions of an anchor's event date."""
-    a = anchors(spark, sf_dir).join(F.broadcast(freezes(spark, sf_dir)), "addr", "left")
+    a = anchors(spark, sf_dir).join(broadcast_if_small(freezes(spark, sf_dir)), "addr", "left")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("event")) for k in ("signed", "published", "frozen")])
     return a.select("addr", "ord", F.explode(kinds).alias("k")).select("addr", "ord", "k.*").filter("event is not null")
 
@@ -227,7 +228,7 @@ def dense(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
 
 @query(with_(ACT_SQL, ANCHOR_SQL, DATED_SQL, WEEKS, f"x AS (SELECT kind, v, CAST(floor((ms - event) / {WEEK_MS}.0) AS BIGINT) AS wk FROM act JOIN dated ON act.addr = dated.addr WHERE ms < {END_MS})", dense_sql("x", "kind")) + f"SELECT kind, {summary_sql()} FROM dn GROUP BY 1")
 def q_event_date_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = activity(spark, sf_dir).filter(F.col("ms") < END_MS).join(F.broadcast(dated(spark, sf_dir)), "addr").withColumn("wk", wk("event"))
+    rows = activity(spark, sf_dir).filter(F.col("ms") < END_MS).join(broadcast_if_small(dated(spark, sf_dir)), "addr").withColumn("wk", wk("event"))
     return dense(spark, rows, "kind").groupBy("kind").agg(*summary_columns())
 
 
@@ -276,7 +277,8 @@ def hash8_sql(*cols: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(cols)})), 1, 8))::BIGINT"
 
 
-PLACEBOS = 3000
+PLACEBOS = 3000  # the surveyed system's own number of placebo addresses per seed
+SEEDS = 300
 
 
 def placebo_rows(spark: SparkSession, sf_dir: str, seeds: int) -> DataFrame:
@@ -289,13 +291,13 @@ def placebo_rows(spark: SparkSession, sf_dir: str, seeds: int) -> DataFrame:
     first = act.groupBy("x").agg(F.min("ms").alias("first_ms"))
     near = (F.col("addr") == F.col("x")) & (F.col("ms") >= F.col("event") - W * WEEK_MS) & (F.col("ms") < F.col("event"))
     ok = drawn.join(act, near, "left_semi").join(first, F.col("addr") == F.col("x")).filter(F.col("first_ms") <= F.col("event"))
-    place = F.row_number().over(Window.partitionBy("seed").orderBy(hash8("seed", F.lit("order"), "addr"), "addr"))
-    return ok.select("seed", "addr", "event").withColumn("place", place).filter(F.col("place") <= PLACEBOS).drop("place")
+    ordered = ok.select("seed", "addr", "event", hash8("seed", F.lit("order"), "addr").alias("h"), F.lit(PLACEBOS).alias("want"))
+    return smallest(ordered, ["seed"], ["h", "addr"], "want", "addr").select("seed", "addr", "event")
 
 
 def hop1(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = anchors(spark, sf_dir).select("addr")
-    return anchored(spark, sf_dir).select(F.col("cp").alias("addr")).distinct().join(F.broadcast(dim), "addr", "left_anti")
+    return anchored(spark, sf_dir).select(F.col("cp").alias("addr")).distinct().join(broadcast_if_small(dim), "addr", "left_anti")
 
 
 def placebo_sql(seeds: int) -> str:
@@ -319,12 +321,12 @@ def q_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placebo_study(spark, sf_dir, 1)
 
 
-@query(with_(A_SQL, placebo_sql(10)) + f"SELECT seed, {summary_sql()} FROM dn GROUP BY 1")
+@query(with_(A_SQL, placebo_sql(SEEDS)) + f"SELECT seed, {summary_sql()} FROM dn GROUP BY 1")
 def q_placebo_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placebo_study(spark, sf_dir, 10)
+    return placebo_study(spark, sf_dir, SEEDS)
 
 
-BOOT = 500
+BOOT = 2000
 _BOOT_SQL = f"""g AS (SELECT ord, sum(v) FILTER ({wk_sql()} BETWEEN 7 AND 26) AS post, sum(v) FILTER ({wk_sql()} BETWEEN -26 AND -1) AS pre FROM a GROUP BY 1),
 gi AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS i, count(*) OVER () AS n FROM g), bs AS (SELECT unnest(range({BOOT})) AS b),
 pick AS (SELECT b, {hash8_sql("'cluster'", "b", "slot.i")} % slot.n AS i FROM bs CROSS JOIN gi slot),

@@ -71,7 +71,7 @@ def q_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc_of(mean_ranks(long_scores(spark, sf_dir), ["candidates", "measure"], "s"), ["candidates", "measure"])
 
 
-BOOT = 20
+BOOT = 200
 
 
 @query(_BASE + f""", w AS (SELECT draw, y, score AS s, CASE WHEN u < 3679 THEN 0 WHEN u < 7358 THEN 1 WHEN u < 9197 THEN 2 WHEN u < 9810 THEN 3 ELSE 4 END AS k FROM (SELECT draw, y, score, {hash8_sql("'auc'", 'draw', 'addr')} % 10000 AS u FROM sc CROSS JOIN (SELECT unnest(range({BOOT})) AS draw))),
