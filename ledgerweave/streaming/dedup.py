@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ledgerweave.operators.lookups import broadcast_if_small
 from ledgerweave.storage import exists, fresh_path, is_file, store
 
 FILE, ROW, EPOCH = "_lw_file", "_lw_row", "_lw_epoch"
@@ -181,11 +182,14 @@ def _first_of_each(passed: DataFrame, loads: DataFrame, names: list[str], horizo
     newest = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, 0))
     oldest = F.min("low").over(order.rowsBetween(Window.unboundedPreceding, -1))
     suspect = loads.withColumn("newest", newest).withColumn("oldest", oldest).filter(F.col("oldest") + F.expr(f"interval {horizon}") <= F.col("newest"))
-    since = suspect.agg(F.min(EPOCH)).first()[0]
-    if since is None:
+    if suspect.isEmpty():
         return passed
+    # batches are compared by a hash of the identifier first, which is short to shuffle; an identifier passes once per batch at most
+    key = F.xxhash64(*names)
+    again = passed.groupBy(key.alias("_lw_key")).agg(F.min(EPOCH).alias("a"), F.max(EPOCH).alias("b")).filter("a < b").select("_lw_key")
+    again = broadcast_if_small(store(again, "again").df)
     place = F.struct(EPOCH, FILE, ROW)
-    # the least place is combined before the shuffle, and an identifier passes once per batch at most
-    twice = passed.groupBy(*names).agg(F.min(place).alias("_lw_least"), F.count(F.lit(1)).alias("_lw_n")).filter("_lw_n > 1").select(*names, "_lw_least")
-    more = store(passed.filter(F.col(EPOCH) >= since).join(store(twice, "twice").df, names).filter(place > F.col("_lw_least")).select(EPOCH, FILE, ROW), "expired").df
-    return passed.join(more, [EPOCH, FILE, ROW], "left_anti")
+    some = store(passed.withColumn("_lw_key", key).join(again, "_lw_key", "left_semi").select(*names, place.alias("_lw_place")), "again").df
+    least = some.groupBy(*names).agg(F.min("_lw_place").alias("_lw_least"))
+    more = store(some.join(least, names).filter("_lw_place > _lw_least").select("_lw_place.*"), "expired").df
+    return passed.join(broadcast_if_small(more), [EPOCH, FILE, ROW], "left_anti")
