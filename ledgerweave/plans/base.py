@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ledgerweave.functions.base58 import ALPHABET, body_hex
 from ledgerweave.functions.ledger import DAY_MS, VALUE_CAP, address, tx_hash, usable_amount
 from ledgerweave.sources.tables import TRANSFERS, table
-from ledgerweave.storage import Stored, store
+from ledgerweave.storage import Stored, files_state, store
 
 WEEK_MS = 7 * DAY_MS
 END_MS = 1_735_689_600_000  # 2025-01-01
@@ -34,14 +34,23 @@ def query(sql: str | None = None):
     return keep
 
 
-_STAGES: dict[tuple[str, str, str], Stored] = {}
+_STAGES: dict[tuple[str, str, str], tuple[int, Stored]] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A relation that many queries share, written once per state of the input files; an outdated one is deleted."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), files_state(spark, sf_dir)
+    if key in _STAGES and _STAGES[key][0] != now:
+        _STAGES.pop(key)[1].drop()
     if key not in _STAGES:
-        _STAGES[key] = store(make(), name)
-    return _STAGES[key].df
+        _STAGES[key] = now, store(make(), name)
+    return _STAGES[key][1].df
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the shared relations of this session."""
+    for key in [k for k in _STAGES if k[0] == spark.sparkContext.applicationId]:
+        _STAGES.pop(key)[1].drop()
 
 
 def once_only(raw: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.chunks import running_total
+from ledgerweave.operators.clusters import best_kmeans, lloyd, nearest, unit
 from ledgerweave.operators.graph import reached_by
 from ledgerweave.plans.base import ANCHOR_SQL, PAIR_SQL, query, r6, stage, with_
 from ledgerweave.plans.events import hash8, hash8_sql
@@ -131,13 +132,16 @@ def role_sql(x: str, seed: str) -> str:
 
 
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, a, b): the embeddings' labels and a second partition that departs from them on a part of the rows."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("a"))
-    moved = hash8(F.lit("move"), "id") % 3 == 0
-    return e.withColumn("b", F.when(moved, role(F.col("id"), "role")).otherwise(F.col("a") % K))
+    """(id, a, b): the embeddings' labels, and the label whose mean is nearest to each embedding."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("a"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    means = e.select("a", F.posexplode("e").alias("i", "x")).groupBy("a", "i").agg(F.avg("x").alias("m")).groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("m"))
+    all_ = means.agg(F.collect_list(F.struct("a", "m")).alias("means"))  # one row per label
+    far = lambda m: F.aggregate(F.zip_with("e", m, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    near = F.array_min(F.transform("means", lambda c: F.struct(far(c["m"]).alias("d"), c["a"].alias("a"))))
+    return stage(spark, sf_dir, "partitions", lambda: e.crossJoin(F.broadcast(all_)).select("id", "a", near["a"].alias("b")))
 
 
-_PART = f"pt AS (SELECT vec_id AS id, label::BIGINT AS a, CASE WHEN {hash8_sql("'move'", 'vec_id')} % 3 = 0 THEN {role_sql('vec_id', 'role')} ELSE label % {K} END AS b FROM embeddings), ct AS (SELECT a, b, count(*) AS n FROM pt GROUP BY 1, 2), ca AS (SELECT a, sum(n) AS n FROM ct GROUP BY 1), cb AS (SELECT b, sum(n) AS n FROM ct GROUP BY 1), cn AS (SELECT sum(n)::DOUBLE AS n FROM ct)"
+_PART = "ed AS MATERIALIZED (SELECT vec_id AS id, label::BIGINT AS a, embedding::DOUBLE[] AS e FROM embeddings), cm AS MATERIALIZED (SELECT a AS b, list(m ORDER BY i) AS m FROM (SELECT a, i, avg(e[i]) AS m FROM ed, (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i) GROUP BY 1, 2) GROUP BY 1), pt AS MATERIALIZED (SELECT id, any_value(a) AS a, arg_min(b, list_distance(e, m)) AS b FROM ed, cm GROUP BY 1), ct AS (SELECT a, b, count(*) AS n FROM pt GROUP BY 1, 2), ca AS (SELECT a, sum(n) AS n FROM ct GROUP BY 1), cb AS (SELECT b, sum(n) AS n FROM ct GROUP BY 1), cn AS (SELECT sum(n)::DOUBLE AS n FROM ct)"
 
 
 def contingency(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -147,7 +151,12 @@ def contingency(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 
 @query(f"WITH {_PART}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct) AS i, (SELECT sum(n * (n - 1) / 2) FROM ca) AS a, (SELECT sum(n * (n - 1) / 2) FROM cb) AS b, (SELECT n * (n - 1) / 2 FROM cn) AS t) SELECT round((i - a * b / t) / ((a + b) / 2 - a * b / t), 6) AS ari FROM s")
 def q_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ct, a, b, n = contingency(partitions(spark, sf_dir))
+    return ari_of(partitions(spark, sf_dir))
+
+
+def ari_of(p: DataFrame) -> DataFrame:
+    """(ari) of two partitions a and b of the same rows."""
+    ct, a, b, n = contingency(p)
     two = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
     s = ct.agg(two("n").alias("i")).crossJoin(a.agg(two("na").alias("a"))).crossJoin(b.agg(two("nb").alias("b"))).crossJoin(n)
     t = F.col("nn") * (F.col("nn") - 1) / 2
@@ -170,12 +179,53 @@ def q_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.groupBy("b").agg(F.max("n").alias("m")).agg(F.sum("m").alias("m")).crossJoin(n).select(r6(F.col("m") / F.col("nn")).alias("purity"))
 
 
-_ROLE = f"rl AS (SELECT addr, own, in_deg, out_deg, {role_sql('addr', 'role')} AS role FROM dg)"
+LLOYD_STEPS = 6
+STARTS = [[-0.7, -0.6], [0.1, 0.9], [1.3, -0.4], [2.1, 1.7], [0.4, -1.1]]
+
+
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(addr, own, in_deg, out_deg, role): clusters of the standardised log degrees, by six steps from fixed centres.
+
+    Addresses of equal degrees are one point with a weight, so the steps run over the distinct degrees.
+    """
+
+    def make() -> DataFrame:
+        d = graph_degrees(spark, sf_dir).select("addr", "own", "in_deg", "out_deg")
+        point = d.groupBy("in_deg", "out_deg").agg(F.count(F.lit(1)).alias("n"))
+        kept = store(point.select(F.log1p(F.col("in_deg").cast("double")).alias("i"), F.log1p(F.col("out_deg").cast("double")).alias("o"), "n"), "points")
+        w = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+        mean = kept.df.agg(w("i").alias("i"), w("o").alias("o")).first()
+        sd = kept.df.agg(*[F.sqrt(F.sum(F.col("n") * F.pow(F.col(c) - F.lit(mean[c]), F.lit(2.0))) / F.sum("n")).alias(c) for c in ("i", "o")]).first()
+        z = lambda c, x: (x - F.lit(mean[c] or 0.0)) / F.lit(max(sd[c] or 0.0, 1e-9))
+        centres = lloyd(kept.df.select(z("i", F.col("i")).alias("x"), z("o", F.col("o")).alias("y"), "n"), ["x", "y"], "n", STARTS, LLOYD_STEPS)
+        kept.drop()
+        at = d.withColumn("x", z("i", F.log1p(F.col("in_deg").cast("double")))).withColumn("y", z("o", F.log1p(F.col("out_deg").cast("double"))))
+        return at.select("addr", "own", "in_deg", "out_deg", nearest(["x", "y"], centres).alias("role"))
+
+    return stage(spark, sf_dir, "roles", make)
+
+
+def _roles_sql() -> str:
+    z = "zr AS MATERIALIZED (SELECT addr, own, in_deg, out_deg, (ln(1 + in_deg) - avg(ln(1 + in_deg)) OVER ()) / greatest(stddev_pop(ln(1 + in_deg)) OVER (), 1e-9) AS x, (ln(1 + out_deg) - avg(ln(1 + out_deg)) OVER ()) / greatest(stddev_pop(ln(1 + out_deg)) OVER (), 1e-9) AS y FROM dg)"
+    parts = [z, "k0(k, x, y) AS (VALUES " + ", ".join(f"({k}::BIGINT, {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in enumerate(STARTS)) + ")"]
+    for t in range(LLOYD_STEPS):
+        near = f"SELECT addr, any_value(zr.x) AS x, any_value(zr.y) AS y, arg_min(k, (zr.x - c.x) ** 2 + (zr.y - c.y) ** 2) AS k FROM zr, k{t} c GROUP BY 1"
+        parts.append(f"k{t + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.x, o.x) AS x, coalesce(n.y, o.y) AS y FROM k{t} o LEFT JOIN (SELECT k, avg(x) AS x, avg(y) AS y FROM ({near}) GROUP BY 1) n ON n.k = o.k)")
+    parts.append(f"rl AS MATERIALIZED (SELECT addr, any_value(own) AS own, any_value(in_deg) AS in_deg, any_value(out_deg) AS out_deg, arg_min(k, (zr.x - c.x) ** 2 + (zr.y - c.y) ** 2) AS role FROM zr, k{LLOYD_STEPS} c GROUP BY 1)")
+    return ", ".join(parts)
+
+
+_ROLE = _roles_sql()
+
+
+@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {_ROLE} SELECT addr, role FROM rl")
+def q_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles(spark, sf_dir).select("addr", "role")
 
 
 @query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {_ROLE}, g AS (SELECT role, count(*) AS n, count(*) FILTER (own) AS s FROM rl GROUP BY 1) SELECT round(max(s / n), 8) AS max_density, round(-sum(CASE WHEN s > 0 THEN s / t * ln(s / t) ELSE 0 END) / ln({K}), 6) AS entropy, round(max(s / t), 6) AS top_share FROM g, (SELECT sum(s) AS t FROM g)")
 def q_anchor_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_degrees(spark, sf_dir).groupBy(role(F.col("addr"), "role").alias("role")).agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("s"))
+    g = roles(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("s"))
     g = g.crossJoin(F.broadcast(g.agg(F.sum("s").alias("t"))))
     p = F.col("s") / F.col("t")
     return g.agg(F.round(F.max(F.col("s") / F.col("n")), 8).alias("max_density"), r6(-F.sum(F.when(F.col("s") > 0, p * F.log(p)).otherwise(0.0)) / F.log(F.lit(float(K)))).alias("entropy"), r6(F.max(p)).alias("top_share"))
@@ -185,19 +235,21 @@ def q_anchor_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_role_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, o = F.avg("in_deg"), F.avg("out_deg")
     family = F.when(F.greatest(i, o) >= 8, "hub").when(o >= 1.5 * i, "sender").when(i >= 1.5 * o, "receiver").otherwise("relay")
-    return graph_degrees(spark, sf_dir).groupBy(role(F.col("addr"), "role").alias("role")).agg(F.count(F.lit(1)).alias("n"), r6(i).alias("mean_in"), r6(o).alias("mean_out"), F.count_if("own").alias("n_own"), family.alias("family"))
+    return roles(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n"), r6(i).alias("mean_in"), r6(o).alias("mean_out"), F.count_if("own").alias("n_own"), family.alias("family"))
 
 
 @query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {_ROLE} SELECT src AS addr, role, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 6) AS share FROM pair JOIN rl ON rl.addr = dst GROUP BY 1, 2")
 def q_role_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of roles among the out-neighbours of each address."""
-    c = pairs(spark, sf_dir).select(F.col("src").alias("addr"), role(F.col("dst"), "role").alias("role")).groupBy("addr", "role").agg(F.count(F.lit(1)).alias("n"))
+    c = pairs(spark, sf_dir).join(roles(spark, sf_dir).select(F.col("addr").alias("dst"), "role"), "dst").select(F.col("src").alias("addr"), "role").groupBy("addr", "role").agg(F.count(F.lit(1)).alias("n"))
     return c.select("addr", "role", r6(F.col("n") / F.sum("n").over(Window.partitionBy("addr"))).alias("share"))
 
 
 @query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {_ROLE}, e AS (SELECT a.role AS ra, b.role AS rb, count(*) AS n FROM pair JOIN rl a ON a.addr = src JOIN rl b ON b.addr = dst GROUP BY 1, 2), m AS (SELECT sum(n)::DOUBLE AS m FROM e), de AS (SELECT ra AS r, sum(n) AS d FROM (SELECT ra, n FROM e UNION ALL SELECT rb, n FROM e) GROUP BY 1) SELECT round((SELECT sum(n) FROM e WHERE ra = rb) / m - (SELECT sum((d / (2 * m.m)) ** 2) FROM de, m), 8) AS modularity FROM m")
 def q_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = pairs(spark, sf_dir).groupBy(role(F.col("src"), "role").alias("ra"), role(F.col("dst"), "role").alias("rb")).agg(F.count(F.lit(1)).alias("n"))
+    r = roles(spark, sf_dir)
+    e = pairs(spark, sf_dir).join(r.select(F.col("addr").alias("src"), F.col("role").alias("ra")), "src").join(r.select(F.col("addr").alias("dst"), F.col("role").alias("rb")), "dst")
+    e = e.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("n"))
     m = e.agg(F.sum("n").cast("double").alias("m"), F.sum(F.when(F.col("ra") == F.col("rb"), F.col("n"))).alias("same"))
     d = e.select(F.explode(F.array("ra", "rb")).alias("r"), "n").groupBy("r").agg(F.sum("n").alias("d")).crossJoin(F.broadcast(m))
     a2 = d.agg(F.sum(F.pow(F.col("d") / (2 * F.col("m")), F.lit(2.0))).alias("a2"))
@@ -243,27 +295,43 @@ def q_attention_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(top, "dst").groupBy(F.col("dst").alias("addr")).agg(r6(F.sum(g * F.col("hs")) / F.sum(g)).alias("attended"))
 
 
-def q_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spherical k-means on the embeddings: rows of unit length, cosine distance."""
-    from pyspark.ml.clustering import KMeans
+INITS = 10
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    e = table(spark, sf_dir, "embeddings")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = e.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))).alias("features"))
-    model = KMeans(k=9, seed=7, distanceMeasure="cosine", maxIter=20).fit(v)
-    return model.transform(v).select("vec_id", F.col("prediction").alias("role"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(unit(F.col("embedding"))).alias("features"))
+
+
+def q_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spherical k-means on the embeddings: rows of unit length, the best of ten first choices."""
+    v = stage(spark, sf_dir, "unit_vectors", lambda: unit_vectors(spark, sf_dir))
+    return best_kmeans(v, 9, list(range(INITS))).transform(v).select("vec_id", F.col("prediction").alias("role"))
 
 
 def q_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simplified silhouette of the k-means roles (squared Euclidean to the centres)."""
+    """Simplified silhouette (squared Euclidean to the centres) of the unit vectors, for several numbers of roles."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    joined = e.join(q_kmeans(spark, sf_dir).withColumnRenamed("role", "prediction"), "vec_id")
-    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(joined)
-    return spark.createDataFrame([(float(value),)], "silhouette double")
+    v = stage(spark, sf_dir, "unit_vectors", lambda: unit_vectors(spark, sf_dir))
+    found = [(k, float(ClusteringEvaluator().evaluate(best_kmeans(v, k, list(range(5))).transform(v)))) for k in (6, 9, 12)]
+    return spark.createDataFrame(found, "k int, silhouette double")
+
+
+def q_kmeans_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement (adjusted Rand index) of the roles that five different first choices lead to."""
+    v = stage(spark, sf_dir, "unit_vectors", lambda: unit_vectors(spark, sf_dir))
+    runs = [store(best_kmeans(v, 9, [s]).transform(v).select("vec_id", F.col("prediction").alias(f"r{s}")), "roles").df for s in range(5)]
+    joined = runs[0]
+    for r in runs[1:]:
+        joined = joined.join(r, "vec_id")
+    found = None
+    for i in range(5):
+        for j in range(i + 1, 5):
+            one = ari_of(joined.select(F.col(f"r{i}").alias("a"), F.col(f"r{j}").alias("b"))).select(F.lit(i).alias("first"), F.lit(j).alias("second"), "ari")
+            found = one if found is None else found.unionByName(one)
+    return found
 
 
 CASCADE_DRAWS = 3
@@ -301,3 +369,4 @@ def cascade_hits(live: DataFrame) -> DataFrame:
 
 query()(q_kmeans)
 query()(q_silhouette)
+query()(q_kmeans_stability)

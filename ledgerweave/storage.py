@@ -62,6 +62,19 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
 
 
+def files_state(spark: SparkSession, folder: str) -> int:
+    """A number that changes with the names, sizes and times of the files in ``folder``; 0 if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return 0
+    found, files = fs.listFiles(target, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(files)))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
