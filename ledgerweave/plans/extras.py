@@ -14,7 +14,7 @@ from ledgerweave.plans.events import A_SQL, about, anchored, hash8, hash8_sql, h
 from ledgerweave.plans.features import structural
 from ledgerweave.plans.labelling import CAT_SQL, NEGATIVE, _list, categories
 from ledgerweave.plans.networks import DEG_SQL, PAIR_SQL, graph_degrees, pairs
-from ledgerweave.plans.scoring import _BASE, K, _auc_sql, auc_of, mean_ranks, q_cascade_mc, q_sinkhorn, role, role_sql, scored
+from ledgerweave.plans.scoring import _BASE, CASCADE_SQL, ITERS, K, _auc_sql, _sinkhorn_sql, auc_of, mean_ranks, q_cascade_mc, q_sinkhorn, role, role_sql, scored
 from ledgerweave.sources.tables import TRANSFERS, table
 
 
@@ -67,6 +67,7 @@ def q_verified_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc_of(mean_ranks(v, ["measure"], "s"), ["measure"])
 
 
+@query(_BASE + f", {CASCADE_SQL}, r AS (SELECT rank() OVER (ORDER BY hits) + (count(*) OVER (PARTITION BY hits) - 1) / 2 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS b FROM ca JOIN sc USING (addr)) SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM r")
 def q_mc_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of expected reach and simulated coverage over all addresses."""
     c = q_cascade_mc(spark, sf_dir).join(scored(spark, sf_dir), "addr").select("hits", "score", F.lit(1).alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("g"))
@@ -75,23 +76,18 @@ def q_mc_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(a, "hits").join(b, "score").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("ra", "rb")).alias("spearman"))
 
 
-query()(q_mc_agreement)
-
-
 @query(_BASE + " SELECT addr, round(ln(1 + 1000 * score) / ln(1001), 6) AS target FROM sc")
 def q_log_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("addr", r6(F.log1p(F.col("score") * 1000) / F.log(F.lit(1001.0))).alias("target"))
 
 
+@query(f"WITH {_sinkhorn_sql()}, o AS (SELECT id, k, round(q * n, 6) AS q FROM q{ITERS}, nn) SELECT id, k AS prototype, q AS share FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY q DESC, k) AS rn FROM o) WHERE rn = 1")
 def q_prototype_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prototype with the largest balanced share of each row; of equal ones the first."""
     best = q_sinkhorn(spark, sf_dir).groupBy("id").agg(F.max(F.struct("q", (-F.col("k")).alias("m"))).alias("b"))
     return best.select("id", (-F.col("b.m")).alias("prototype"), F.col("b.q").alias("share"))
 
 
-query()(q_prototype_assign)
-
-
 @query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + ", z AS (SELECT addr, ln(1 + in_deg) AS a, ln(1 + out_deg) AS b FROM dg), m AS (SELECT src AS addr, avg(z.a) AS a, avg(z.b) AS b FROM pair JOIN z ON z.addr = dst GROUP BY 1) SELECT count(*) AS n, round(avg((z.a - m.a) ** 2 + (z.b - m.b) ** 2), 6) AS loss FROM z JOIN m USING (addr)")
 def q_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared distance of an address's features from the mean of its out-neighbours'."""

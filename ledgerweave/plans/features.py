@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.chunks import RANK, latest_before, number_rows
-from ledgerweave.plans.base import ACT_SQL, PAIR_SQL, activity, money, pairs, query, r6, stage, transfers
+from ledgerweave.plans.base import ACT_SQL, ORACLES, PAIR_SQL, activity, money, pairs, query, r6, stage, transfers
 
 DAY_S = 86_400
 
@@ -155,15 +155,65 @@ def q_features_v3_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_day.join(hour, "addr").select("addr", r6(F.col("top") / F.col("n")).alias("max_day_share"), r6(F.col("e")).alias("hour_entropy"), r6(F.col("w") / F.col("n")).alias("weekend_share"))
 
 
-@query(f"""WITH {PAIR_SQL}, act AS (SELECT dst AS addr, 'in' AS dir, v, ms FROM t UNION ALL SELECT src, 'out', v, ms FROM t), {_STRUCT_SQL}, o AS (SELECT src AS addr, avg(log_in) AS a, avg(log_out_val) AS b FROM pair JOIN s ON s.addr = dst GROUP BY 1), i AS (SELECT dst AS addr, avg(log_in) AS a, avg(log_out_val) AS b FROM pair JOIN s ON s.addr = src GROUP BY 1)
-  SELECT s.addr, round(log_in, 6) AS log_in, round(log_out_val, 6) AS log_out_val, round(coalesce(o.a, 0), 6) AS out_log_in, round(coalesce(o.b, 0), 6) AS out_log_out_val, round(coalesce(i.a, 0), 6) AS in_log_in, round(coalesce(i.b, 0), 6) AS in_log_out_val FROM s LEFT JOIN o ON o.addr = s.addr LEFT JOIN i ON i.addr = s.addr""")
-def q_neighbour_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features next to their means over out- and in-neighbours."""
-    s = stage(spark, sf_dir, "structural", lambda: structural(spark, sf_dir)).select("addr", "log_in", "log_out_val")
-    p = pairs(spark, sf_dir).select("src", "dst")
+@query(f"""WITH {ACT_SQL}, r AS (SELECT addr, v, row_number() OVER (PARTITION BY addr ORDER BY v) AS i, count(*) OVER (PARTITION BY addr) AS n FROM act WHERE dir = 'in')
+  SELECT addr, round(CASE WHEN any_value(n) < 2 THEN 0 ELSE 2 * CAST(sum(i * v) AS DOUBLE) / (any_value(n) * CAST(sum(v) AS DOUBLE)) - (any_value(n) + 1) / any_value(n) END, 6) AS gini_in FROM r GROUP BY 1""")
+def q_features_v3_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inequality of the amounts that each address received, from exact ranks."""
+    a = number_rows(activity(spark, sf_dir).filter("dir = 'in'").select("addr", "v"), ["addr"], [F.col("v")]).df
+    i = (F.col(RANK) + 1).cast("decimal(12,0)")
+    g = a.groupBy("addr").agg(F.count(F.lit(1)).alias("n"), money(F.sum(i * F.col("v"))).alias("iv"), money(F.sum("v")).alias("v"))
+    return g.select("addr", r6(F.when(F.col("n") < 2, 0.0).otherwise(2 * F.col("iv") / (F.col("n") * F.col("v")) - (F.col("n") + 1) / F.col("n"))).alias("gini_in"))
+
+
+#: the thirty behavioural features in their published order
+FEATURES = [
+    "log_in_cnt", "log_out_cnt", "log_in_val", "log_out_val", "log_mean_in", "log_mean_out", "log_max_amt", "share_small", "share_round", "gini_in",
+    "log_median_amt", "log_uniq_in", "log_uniq_out", "repeat_in", "repeat_out", "reciprocity", "net_flow_ratio", "forward_share", "log_pass_latency", "share_out_within_1d",
+    "log_mean_interevent", "burstiness", "log_lifetime_days", "log_active_days", "tx_per_active_day", "max_day_share", "hour_entropy", "weekend_share", "first_ts_norm", "last_ts_norm",
+]
+_PARTS = ["volume", "gini", "counterparty", "flow", "temporal", "calendar"]
+_ZERO = ("gini_in",)
+_FEAT_SQL = (
+    f"b AS (SELECT * FROM (WITH {ACT_SQL}, {_STRUCT_SQL} SELECT addr, round(log_in, 6) AS log_in_cnt, round(log_out, 6) AS log_out_cnt, round(log_in_val, 6) AS log_in_val, round(log_out_val, 6) AS log_out_val, round(log_mean_in, 6) AS log_mean_in, round(log_mean_out, 6) AS log_mean_out FROM s)), "
+    + ", ".join(f"p_{n} AS (SELECT * FROM ({ORACLES[f'q_features_v3_{n}']}))" for n in _PARTS)
+    + ", feat AS MATERIALIZED (SELECT addr, " + ", ".join(f"coalesce({c}, 0) AS {c}" if c in _ZERO else c for c in FEATURES) + " FROM b " + " ".join(f"LEFT JOIN p_{n} USING (addr)" for n in _PARTS) + ")"
+)
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(addr, thirty features): everything is grouped by address, so the parts meet under one partitioning."""
+
+    def make() -> DataFrame:
+        b = structural(spark, sf_dir).select("addr", r6(F.col("log_in")).alias("log_in_cnt"), r6(F.col("log_out")).alias("log_out_cnt"), *[r6(F.col(c)).alias(c) for c in FEATURES[2:6]])
+        for part in (q_features_v3_volume, q_features_v3_gini, q_features_v3_counterparty, q_features_v3_flow, q_features_v3_temporal, q_features_v3_calendar):
+            b = b.join(part(spark, sf_dir), "addr", "left")
+        return b.select("addr", *[F.coalesce(c, F.lit(0.0)).alias(c) if c in _ZERO else F.col(c) for c in FEATURES])
 
-    def mean(over: str, to: str, tag: str) -> DataFrame:
-        return p.join(s.withColumnRenamed("addr", over), over).groupBy(F.col(to).alias("addr")).agg(F.avg("log_in").alias(f"{tag}_log_in"), F.avg("log_out_val").alias(f"{tag}_log_out_val"))
+    return stage(spark, sf_dir, "features", make)
 
-    x = s.join(mean("dst", "src", "out"), "addr", "left").join(mean("src", "dst", "in"), "addr", "left")
-    return x.select("addr", *[r6(F.coalesce(c, F.lit(0.0))).alias(c) for c in x.columns[1:]])
+
+@query(f"WITH {_FEAT_SQL} SELECT * FROM feat")
+def q_features_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix(spark, sf_dir)
+
+
+def _mean_sql(end: str, other: str, tag: str) -> str:
+    return f"{tag}n AS (SELECT {end} AS addr, " + ", ".join(f"avg({c}) AS {tag}_{c}" for c in FEATURES) + f" FROM pr JOIN feat ON feat.addr = {other} GROUP BY 1)"
+
+
+@query(
+    f"WITH {_FEAT_SQL}, pr AS (SELECT * FROM (WITH {PAIR_SQL} SELECT src, dst FROM pair)), {_mean_sql('src', 'dst', 'out')}, {_mean_sql('dst', 'src', 'in')} SELECT feat.addr, "
+    + ", ".join([*FEATURES, *[f"round(coalesce({t}_{c}, 0) + 1e-9, 5) AS {t}_{c}" for t in ("out", "in") for c in FEATURES]])
+    + " FROM feat LEFT JOIN outn ON outn.addr = feat.addr LEFT JOIN inn ON inn.addr = feat.addr"
+)
+def q_neighbour_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty features next to their means over out- and in-neighbours: ninety columns.
+
+    A billionth is added before rounding, so that means halfway between two values round alike everywhere.
+    """
+    f = matrix(spark, sf_dir)
+    p, out = pairs(spark, sf_dir).select("src", "dst"), f
+    for end, other, tag in (("src", "dst", "out"), ("dst", "src", "in")):
+        near = p.join(f.withColumnRenamed("addr", other), other).groupBy(F.col(end).alias("addr")).agg(*[F.avg(c).alias(f"{tag}_{c}") for c in FEATURES])
+        out = out.join(near, "addr", "left")
+    return out.select("addr", *FEATURES, *[F.round(F.coalesce(f"{t}_{c}", F.lit(0.0)) + 1e-9, 5).alias(f"{t}_{c}") for t in ("out", "in") for c in FEATURES])

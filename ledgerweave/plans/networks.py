@@ -8,6 +8,7 @@ from ledgerweave.operators.lookups import broadcast_if_small, smallest
 from ledgerweave.plans.base import ANCHOR_SQL, PAIR_SQL, anchors, money, pairs, query, r6, stage, with_
 from ledgerweave.plans.events import hash8, hash8_sql
 from ledgerweave.plans.relational import degrees
+from ledgerweave.storage import store
 
 
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +317,19 @@ def q_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank(pairs(spark, sf_dir).select("src", "dst"), 100).select(F.col("node").alias("addr"), F.round(F.col("r") * 1e6, 4).alias("rank_ppm"))
 
 
+@query(f"WITH RECURSIVE {PAIR_SQL}, {_PAGERANK_SQL}, l AS (SELECT x, r FROM pr WHERE k = (SELECT max(k) FROM pr)) SELECT x AS addr, round(r / ((SELECT max(r) FROM l) + 1e-9), 6) AS rank FROM l")
+def q_pagerank_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pagerank(pairs(spark, sf_dir).select("src", "dst"), 100)
+    return r.crossJoin(F.broadcast(r.agg(F.max("r").alias("top")))).select(F.col("node").alias("addr"), r6(F.col("r") / (F.col("top") + 1e-9)).alias("rank"))
+
+
+@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + "SELECT addr, round(in_deg / (SELECT max(in_deg) FROM dg), 8) AS centrality FROM dg")
+def q_degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-degree as a share of the largest."""
+    d = graph_degrees(spark, sf_dir)
+    return d.crossJoin(F.broadcast(d.agg(F.max("in_deg").alias("top")))).select("addr", F.round(F.col("in_deg") / F.col("top"), 8).alias("centrality"))
+
+
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.log1p(money("w")) * 0.1 / F.log1p(F.lit(1e8))))
     return pairs(spark, sf_dir).select("src", "dst", p.alias("weight"))
@@ -373,11 +387,41 @@ def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "radius", lambda: spark.range(1).select(F.lit(spectral_radius(weighted(spark, sf_dir))).alias("radius")))
 
 
-@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + "SELECT src AS addr, round(avg(degree), 6) AS mean_degree, round(ln(1 + sum(degree)), 6) AS log_sum, round(avg(in_deg), 6) AS mean_in, round(avg(out_deg), 6) AS mean_out FROM pair JOIN dg ON dg.addr = pair.dst GROUP BY 1")
+def _refex_sql() -> str:
+    def level(frm: str, cols: list[str], name: str) -> str:
+        agg = lambda end, other, tag: f"SELECT {end} AS addr, " + ", ".join(f"avg({c}) AS {tag}_mean_{c}, sign(sum({c})) * ln(1 + abs(sum({c}))) AS {tag}_sum_{c}" for c in cols) + f" FROM pair JOIN {frm} n ON n.addr = pair.{other} GROUP BY 1"
+        made = [f"{t}_{k}_{c}" for t in ("o", "i") for k in ("mean", "sum") for c in cols]
+        return f"{name} AS MATERIALIZED (SELECT dg.addr, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in made) + f" FROM dg LEFT JOIN ({agg('src', 'dst', 'o')}) o ON o.addr = dg.addr LEFT JOIN ({agg('dst', 'src', 'i')}) i ON i.addr = dg.addr)"
+
+    return f"r0 AS (SELECT addr, in_deg::DOUBLE AS in_deg, out_deg::DOUBLE AS out_deg FROM dg), {level('r0', BASE, 'r1')}, {level('r1', LEVEL1, 'r2')}"
+
+
+BASE = ["in_deg", "out_deg"]
+LEVEL1 = [f"{t}_{k}_{c}" for t in ("o", "i") for k in ("mean", "sum") for c in BASE]
+LEVEL2 = [f"{t}_{k}_{c}" for t in ("o", "i") for k in ("mean", "sum") for c in LEVEL1]
+_STANDARD = lambda c: f"round(({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-9), 5) AS {c}"
+
+
+@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {_refex_sql()} SELECT r0.addr, " + ", ".join(_STANDARD(c) for c in [*BASE, *LEVEL1, *LEVEL2]) + " FROM r0 JOIN r1 USING (addr) JOIN r2 USING (addr)")
 def q_refex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means and sums of the out-neighbours' degrees."""
-    d = graph_degrees(spark, sf_dir).withColumnRenamed("addr", "dst")
-    return pairs(spark, sf_dir).join(d, "dst").groupBy(F.col("src").alias("addr")).agg(r6(F.avg("degree")).alias("mean_degree"), r6(F.log1p(F.sum("degree").cast("double"))).alias("log_sum"), r6(F.avg("in_deg")).alias("mean_in"), r6(F.avg("out_deg")).alias("mean_out"))
+    """Degrees with means and signed log sums of them over out- and in-neighbours, and those of these, standardised."""
+    base = graph_degrees(spark, sf_dir).select("addr", *[F.col(c).cast("double").alias(c) for c in BASE])
+    first = store(neighbour_aggregates(spark, sf_dir, base, BASE), "refex").df
+    second = neighbour_aggregates(spark, sf_dir, first.select("addr", *LEVEL1), LEVEL1)
+    whole = store(first.join(second.drop(*LEVEL1), "addr"), "refex").df
+    columns = [*BASE, *LEVEL1, *LEVEL2]
+    z = whole.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"d_{c}") for c in columns])
+    return whole.crossJoin(F.broadcast(z)).select("addr", *[F.round((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"d_{c}"), F.lit(1e-9)), 5).alias(c) for c in columns])
+
+
+def neighbour_aggregates(spark: SparkSession, sf_dir: str, f: DataFrame, columns: list[str]) -> DataFrame:
+    """``f`` (addr, columns) with ``o_``/``i_`` ``mean_``/``sum_`` columns over out- and in-neighbours, 0 where there are none."""
+    p, out = pairs(spark, sf_dir).select("src", "dst"), f
+    for end, other, tag in (("src", "dst", "o"), ("dst", "src", "i")):
+        near = p.join(f.withColumnRenamed("addr", other), other).groupBy(F.col(end).alias("addr"))
+        aggs = [[F.avg(c).alias(f"{tag}_mean_{c}"), (F.signum(F.sum(c)) * F.log1p(F.abs(F.sum(c)))).alias(f"{tag}_sum_{c}")] for c in columns]
+        out = out.join(near.agg(*[a for pair in aggs for a in pair]), "addr", "left")
+    return out.na.fill(0.0)
 
 
 FAN = 5

@@ -86,6 +86,23 @@ def q_auc_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc_of(mean_ranks(w, ["draw"], "score"), ["draw"])
 
 
+@query(_BASE + f""", w AS (SELECT draw, y, measure, s, CASE WHEN u < 3679 THEN 0 WHEN u < 7358 THEN 1 WHEN u < 9197 THEN 2 WHEN u < 9810 THEN 3 ELSE 4 END AS k FROM (SELECT draw, y, measure, s, {hash8_sql("'auc'", 'draw', 'addr')} % 10000 AS u FROM (SELECT addr, y, 'score' AS measure, score::DOUBLE AS s FROM sc UNION ALL SELECT addr, y, 'degree', degree FROM sc) CROSS JOIN (SELECT unnest(range({BOOT})) AS draw))),
+  g AS (SELECT draw, measure, s, sum(k) AS n, coalesce(sum(k) FILTER (y), 0) AS p FROM w GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER (PARTITION BY draw, measure ORDER BY s) - (n - 1) / 2.0 AS rank FROM g),
+  au AS (SELECT draw, measure, CASE WHEN sum(p) > 0 AND sum(p) < sum(n) THEN round((sum(p * rank) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(n) - sum(p))), 6) END AS auc FROM r GROUP BY 1, 2), dif AS (SELECT draw, max(auc) FILTER (measure = 'score') - max(auc) FILTER (measure = 'degree') AS d FROM au GROUP BY 1)
+  SELECT count(d) AS draws, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dif""")
+def q_auc_diff_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference between two measures' AUC, both resampled with the same weights."""
+    u = hash8(F.lit("auc"), "draw", "addr") % 10000
+    k = F.when(u < 3679, 0).when(u < 7358, 1).when(u < 9197, 2).when(u < 9810, 3).otherwise(4)
+    w = scored(spark, sf_dir).crossJoin(F.broadcast(spark.range(BOOT).withColumnRenamed("id", "draw"))).withColumn("k", k)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("s")) for m in ("score", "degree")])).alias("m")
+    w = w.select("draw", each, F.col("k").alias("n"), (F.col("k") * F.col("y").cast("int")).alias("pos")).select("draw", "m.*", "n", "pos")
+    a = auc_of(mean_ranks(w, ["draw", "measure"], "s"), ["draw", "measure"])
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.col("auc")))
+    d = a.groupBy("draw").agg((of("score") - of("degree")).alias("d"))
+    return d.agg(F.count("d").alias("draws"), r6(F.avg("d")).alias("mean"), r6(F.percentile("d", 0.025)).alias("low"), r6(F.percentile("d", 0.975)).alias("high"))
+
+
 KS = [50, 100, 500, 1000]
 
 
@@ -259,25 +276,33 @@ def q_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SINK_K, EPS, ITERS = 8, 0.05, 3
 
 
-def _sinkhorn_sql() -> str:
+def _sinkhorn_sql(balance: float = 1.0) -> str:
     parts = [f"l0 AS (SELECT vec_id AS id, u.k, exp(embedding[u.k + 1]::DOUBLE / {EPS} / 8) AS q FROM embeddings, (SELECT unnest(range({SINK_K})) AS k) u), q0 AS MATERIALIZED (SELECT id, k, q / (SELECT sum(q) FROM l0) AS q FROM l0), nn AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM l0)"]
     for i in range(ITERS):
-        parts.append(f"a{i} AS (SELECT id, k, q / ({SINK_K} * sum(q) OVER (PARTITION BY k)) AS q FROM q{i}), q{i + 1} AS MATERIALIZED (SELECT id, k, q / (sum(q) OVER (PARTITION BY id) * n) AS q FROM a{i}, nn)")
+        parts.append(f"a{i} AS (SELECT id, k, q * pow(1 / ({SINK_K} * sum(q) OVER (PARTITION BY k)), {balance}) AS q FROM q{i}), q{i + 1} AS MATERIALIZED (SELECT id, k, q / (sum(q) OVER (PARTITION BY id) * n) AS q FROM a{i}, nn)")
     return ", ".join(parts)
 
 
 @query(f"WITH {_sinkhorn_sql()} SELECT id, k, round(q * n, 6) AS q FROM q{ITERS}, nn")
 def q_sinkhorn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced assignment of rows to prototypes: three rounds of scaling columns, then rows.
+    """Balanced assignment of rows to prototypes: three rounds of scaling columns, then rows."""
+    return sinkhorn(spark, sf_dir, 1.0)
 
-    Column sums are aggregates of few rows joined back by broadcast; a row's scores sit in one array.
-    """
+
+@query(f"WITH {_sinkhorn_sql(0.5)} SELECT id, k, round(q * n, 6) AS q FROM q{ITERS}, nn")
+def q_sinkhorn_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the columns' scale to the power of a half, so that prototypes may differ in size."""
+    return sinkhorn(spark, sf_dir, 0.5)
+
+
+def sinkhorn(spark: SparkSession, sf_dir: str, balance: float) -> DataFrame:
+    """(id, k, q). Column sums are aggregates of few rows joined back by broadcast; a row's scores sit in one array."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *[F.exp(F.col("embedding")[k].cast("double") / EPS / 8).alias(f"q{k}") for k in range(SINK_K)])
     cols = [f"q{k}" for k in range(SINK_K)]
     n = e.count()
     for _ in range(ITERS):
         s = e.agg(*[F.sum(c).alias(f"s_{c}") for c in cols])
-        e = e.crossJoin(F.broadcast(s)).select("id", *[(F.col(c) / (SINK_K * F.col(f"s_{c}"))).alias(c) for c in cols])
+        e = e.crossJoin(F.broadcast(s)).select("id", *[(F.col(c) * F.pow(1 / (SINK_K * F.col(f"s_{c}")), F.lit(balance))).alias(c) for c in cols])
         row = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
         e = e.withColumn("row", row).select("id", *[(F.col(c) / (F.col("row") * n)).alias(c) for c in cols])
     return e.select("id", F.posexplode(F.array(*cols)).alias("k", "q")).select("id", F.col("k").cast("bigint").alias("k"), r6(F.col("q") * n).alias("q"))
@@ -336,14 +361,15 @@ def q_kmeans_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CASCADE_DRAWS = 3
 
-CASCADE_SQL = f"""pw AS (SELECT src, dst, greatest(1e-6, least(1, ln(1 + CAST(w AS DOUBLE)) * 0.1 / ln(1 + 1e8))) AS p FROM pair), dr AS (SELECT unnest(range({CASCADE_DRAWS})) AS draw),
+_PW_SQL = "pw AS (SELECT src, dst, greatest(1e-6, least(1, ln(1 + CAST(w AS DOUBLE)) * 0.1 / ln(1 + 1e8))) AS p FROM pair)"
+CASCADE_SQL = f"""dr AS (SELECT unnest(range({CASCADE_DRAWS})) AS draw),
   lv AS MATERIALIZED (SELECT draw, src, dst FROM pw CROSS JOIN dr WHERE {hash8_sql("'live'", 'draw', 'src', 'dst')} < p * 4294967296),
   re(draw, source, node) AS (SELECT draw, src, dst FROM lv UNION SELECT re.draw, source, dst FROM re JOIN lv ON lv.draw = re.draw AND lv.src = re.node),
   hi AS (SELECT node AS addr, count(*) AS hits FROM re WHERE node <> source GROUP BY 1),
   ca AS MATERIALIZED (SELECT addr, coalesce(hits, 0) AS hits, coalesce(hits, 0) / (count(*) OVER () * {CASCADE_DRAWS}) AS coverage FROM dg LEFT JOIN hi USING (addr))"""
 
 
-@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {CASCADE_SQL} SELECT addr, hits, coverage FROM ca")
+@query(with_(PAIR_SQL, ANCHOR_SQL, DEG_SQL) + f", {_PW_SQL}, {CASCADE_SQL} SELECT addr, hits, coverage FROM ca")
 def q_cascade_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent cascades as reachability over edges that a hashed coin keeps alive, from every address, without a
     limit of steps; an address that no other one reaches has no hits.
