@@ -6,25 +6,57 @@ from pyspark.sql import functions as F
 from ledgerweave.plans.base import LABEL_SQL, PAIR_SQL, labels, money, pairs, query, with_
 
 # fixed values: the providers' tags, prefixes and names, and the categories they stand for
-SUSPICIOUS_TAGS = (
-    "blacklisted sanctioned ofac darknet darkmarket darknet-market mixer tornado tornado_cash tornado-cash scam scammer phishing phisher "
-    "hack hacker exploit exploited ransomware fraud theft thief illicit ponzi stealer drainer terrorism terrorist"
-).split()
+SUSPICIOUS_TAGS = [
+    "blacklisted", "sanctioned", "ofac", "darknet", "darkmarket", "darknet-market", "mixer", "tornado", "tornado_cash", "tornado-cash", "scam",
+    "scammer", "phishing", "phisher", "hack", "hacker", "exploit", "exploited", "ransomware", "fraud", "theft", "thief", "illicit", "ponzi",
+    "stealer", "drainer", "terrorism", "terrorist",
+]
 TAGS = {
-    "CEX": "cex exchange".split(),
-    "DEX": "dex amm".split(),
-    "CONTRACT": "stablecoin token-contract token_contract".split(),
-    "BRIDGE": ["bridge"],
-    "PROTOCOL": "protocol defi lending liquid-staking staking".split(),
-    "INSTITUTION": "validator oracle market-maker market_maker custodian payment payment-processor otc".split(),
+    "CEX": [
+        "cex", "exchange",
+    ],
+    "DEX": [
+        "dex", "amm",
+    ],
+    "CONTRACT": [
+        "stablecoin", "token-contract", "token_contract",
+    ],
+    "BRIDGE": [
+        "bridge",
+    ],
+    "PROTOCOL": [
+        "protocol", "defi", "lending", "liquid-staking", "staking",
+    ],
+    "INSTITUTION": [
+        "validator", "oracle", "market-maker", "market_maker", "custodian", "payment", "payment-processor", "otc",
+    ],
 }
 NAMED = {
-    "CEX": "binance coinbase kraken okx okex huobi htx bitfinex kucoin bybit bitstamp gemini ftx mexc gate.io gate bitget crypto.com poloniex upbit bithumb whitebit bitflyer deribit wazirx".split(),
-    "DEX": "uniswap sushiswap sushi curve pancake pancakeswap 1inch balancer dydx kyber kyberswap matcha sunswap justlend".split(),
-    "PROTOCOL": "aave lido compound makerdao yearn rocketpool convex frax ethena morpho eigenlayer pendle gmx radiant spark".split(),
+    "CEX": [
+        "binance", "coinbase", "kraken", "okx", "okex", "huobi", "htx", "bitfinex", "kucoin", "bybit", "bitstamp", "gemini", "ftx", "mexc",
+        "gate.io", "gate", "bitget", "crypto.com", "poloniex", "upbit", "bithumb", "whitebit", "bitflyer", "deribit", "wazirx",
+    ],
+    "DEX": [
+        "uniswap", "sushiswap", "sushi", "curve", "pancake", "pancakeswap", "1inch", "balancer", "dydx", "kyber", "kyberswap", "matcha", "sunswap",
+        "justlend",
+    ],
+    "PROTOCOL": [
+        "aave", "lido", "compound", "makerdao", "yearn", "rocketpool", "convex", "frax", "ethena", "morpho", "eigenlayer", "pendle", "gmx",
+        "radiant", "spark",
+    ],
 }
 PREFIXES = {"cex": "CEX", "exchange": "CEX", "dex": "DEX", "protocol": "PROTOCOL", "defi": "PROTOCOL", "bridge": "BRIDGE", "token": "CONTRACT"}
 NAME_PARTS = [("exchange:", "CEX"), ("mixer:", "SUSPICIOUS"), ("sanctioned:", "SUSPICIOUS"), ("darknet", "SUSPICIOUS"), ("scam", "SUSPICIOUS"), ("phish", "SUSPICIOUS"), ("hack", "SUSPICIOUS"), ("bridge:", "BRIDGE"), ("token:", "CONTRACT"), ("defi:", "PROTOCOL"), ("protocol:", "PROTOCOL"), ("project:", "OTHER")]
+#: what the fourth provider's records, a type and a list of labels, are searched for
+FOURTH_SUSPICIOUS = ["sanction", "ofac", "blacklist", "scam", "phish", "mixer", "tornado", "hack", "exploit", "fraud", "theft", "ransom", "illicit", "darknet", "ponzi"]
+FOURTH_TYPES = {
+    "CEX": ["exchange", "cex"],
+    "DEX": ["dex", "amm"],
+    "CONTRACT": ["token", "stablecoin", "token-contract"],
+    "PROTOCOL": ["defi", "protocol", "staking", "lending"],
+    "BRIDGE": ["bridge", "cross-chain"],
+    "INSTITUTION": ["market maker", "mm", "custodian", "fund", "otc"],
+}
 RANK = ["SUSPICIOUS", "CEX", "DEX", "PROTOCOL", "BRIDGE", "INSTITUTION", "CONTRACT", "OTHER"]
 NEGATIVE = RANK[1:7]
 
@@ -45,6 +77,17 @@ def category(provider: Column, label: Column, name_tag: Column) -> Column:
     return F.when(provider == "allium", exact).when(provider == "rabby", kind).when((provider == "oklink") & (name != ""), typed)
 
 
+def fourth_categories(kind: Column, labels: Column) -> Column:
+    """The categories, none to two, of the fourth provider's record: its type, and any suspicious word in type or labels.
+
+    Nulls in either count as nothing said.
+    """
+    clean = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    said = F.concat_ws(" ", clean(kind), F.concat_ws(" ", F.transform(F.coalesce(labels, F.array().cast("array<string>")), clean)))
+    suspicious = F.when(said.rlike("|".join(FOURTH_SUSPICIOUS)), "SUSPICIOUS")
+    return F.array_compact(F.array(suspicious, first_of([(clean(kind).isin(t), c) for c, t in FOURTH_TYPES.items()])))
+
+
 def _list(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
