@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import compact as kernels
-from ledgerweave.operators.lookups import lookup
+from ledgerweave.operators.lookups import broadcast_if_small, lookup
 from ledgerweave.storage import Stored, is_within, store
 
 HOT_SHARE = 1000
@@ -243,7 +243,7 @@ def pagerank(pairs: DataFrame, rounds: int, alpha: float = 0.85, tol: float = 1e
     return w.named(now.df, "r")
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, rows: int = 20_000_000, compact: int = kernels.EDGES) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, rows: int = 20_000_000, compact: int = kernels.PATH_EDGES) -> DataFrame:
     """(node, score): shortest-path dependencies on each node that is reached, summed over ``pivots``.
 
     ``edges`` (src, dst) count in both directions. Paths are followed from the pivots level by level until no new node
@@ -251,7 +251,7 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, r
     first. Every level is written, so that the way back reads what the way out found. The pivots, which are few, go in
     blocks of about ``rows`` pairs of pivot and node, whose levels are deleted with their block.
     """
-    if is_within(edges, compact):
+    if edges.count() <= compact:
         return _betweenness_by_pivot(edges.select("src", "dst").filter("src <> dst"), pivots, depth)
     w = Walker(edges.filter("src <> dst").select("src", "dst", F.lit(1.0).alias("weight")))
     ids, e = w.ids, w.edges
@@ -291,23 +291,47 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int | None = None, r
     return out.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("score")).join(ids, "id").select("node", "score")
 
 
+def _short(c: str, turn: int) -> Column:
+    return F.xxhash64(F.lit(turn), F.col(c))
+
+
 def _betweenness_by_pivot(edges: DataFrame, pivots: DataFrame, depth: int | None) -> DataFrame:
-    """The graph, whose size was checked, goes to all tasks; each follows the paths from its pivots."""
-    table = edges.toArrow()
-    kind, spark = edges.dtypes[0][1], edges.sparkSession
-    paths = spark.sparkContext.broadcast(kernels.Paths(table.column(0).combine_chunks(), table.column(1).combine_chunks()))
+    """The graph, whose size was checked, goes to all tasks with short ids; each follows the paths from its pivots.
+
+    The ids are hashes, so that no edge is joined to number its ends. Should two nodes share one, others are taken.
+    """
+    spark, turn = edges.sparkSession, 0
+    while True:
+        end = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+        names = store(end.groupBy(_short("node", turn).alias("id")).agg(F.min("node").alias("node"), F.max("node").alias("last")), "names")
+        if names.df.filter("node <> last").isEmpty():
+            break
+        names.drop()
+        turn += 1
+    few = store(pivots.select("node").distinct(), "pivots")
+    start = [r["id"] for r in names.df.join(broadcast_if_small(few.df), "node").select("id").collect()]
+    few.drop()
+    table = edges.select(_short("src", turn).alias("a"), _short("dst", turn).alias("b")).toArrow()
+    g = kernels.Paths(table.column(0).to_numpy(), table.column(1).to_numpy())
+    at = np.flatnonzero(np.isin(g.ids, np.array(start, np.int64)))
+    paths = spark.sparkContext.broadcast(g)
+    del table, g
+    tasks = max(1, min(len(at), spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = paths.value
         total, met = np.zeros(len(g.ids)), np.zeros(len(g.ids), bool)
-        place = {x: i for i, x in enumerate(g.ids.to_pylist())}
         for b in batches:
-            for x in b.column(0).to_pylist():
-                if x in place:
-                    g.dependencies(place[x], total, met, depth)
-        if met.any():
-            at = np.flatnonzero(met)
-            yield pa.RecordBatch.from_pydict({"node": g.ids.take(pa.array(at)), "score": total[at]})
-
-    few = pivots.select("node").distinct().repartition(max(1, spark.sparkContext.defaultParallelism), "node")
-    return few.mapInArrow(run, f"node {kind}, score double").groupBy("node").agg(F.sum("score").alias("score"))
+            for task in b.column(0).to_pylist():
+                for pivot in at[task::tasks]:
+                    g.dependencies(pivot, total, met, depth)
+        found = np.flatnonzero(met)
+        for i in range(0, len(found), 100_000):
+            own = found[i : i + 100_000]
+            yield pa.RecordBatch.from_pydict({"id": g.ids[own], "score": total[own]})
+
+    shares = spark.range(0, tasks, 1, tasks).mapInArrow(run, "id bigint, score double")
+    # written, for Spark takes what comes from so few rows for small and would broadcast it
+    scores = store(shares.groupBy("id").agg(F.sum("score").alias("score")), "shares").df
+    paths.destroy()
+    return scores.join(names.df, "id").select("node", "score")

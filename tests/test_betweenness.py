@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerweave.operators import compact as kernels
+from ledgerweave.operators import graph
 from ledgerweave.operators.graph import betweenness
 from ledgerweave.plans import extras
 
@@ -49,3 +53,31 @@ def test_long_paths_and_more_than_sixteen_pivots_count(spark, monkeypatch, compa
     monkeypatch.setattr(extras, "graph_degrees", lambda spark, sf_dir: spark.createDataFrame([(x,) for x in names], "addr string"))
     rows = {r["addr"]: r["score"] for r in extras.q_betweenness(spark, "small").collect()}
     assert set(rows) == set(names) and all(abs(rows[x] - want.get(x, 0.0)) < 2e-6 for x in names)
+
+
+def test_more_than_two_million_edges_go_to_the_tasks(spark, monkeypatch):
+    monkeypatch.delattr(graph, "Walker")
+    tree = spark.range(2, 2**21).select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"))
+    got = betweenness(tree, spark.createDataFrame([(1,)], "node long")).withColumn("level", F.floor(F.log2("node"))).groupBy("level").agg(F.count("score"), F.min("score"), F.max("score")).collect()
+    assert {tuple(r) for r in got} == {(k, 2**k, 2 ** (21 - k) - 2, 2 ** (21 - k) - 2) for k in range(1, 21)}
+
+
+def test_small_parts_of_the_ways_give_the_same(monkeypatch):
+    monkeypatch.setattr(kernels, "PART", 3)
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(90)] + [(40 + i, 41 + i) for i in range(300)]
+    a, b = np.array([e for e in edges if e[0] != e[1]], np.int64).T * 10**15
+    g = kernels.Paths(a, b)
+    total, met = np.zeros(len(g.ids)), np.zeros(len(g.ids), bool)
+    for p in (0, 40):
+        g.dependencies(int(np.flatnonzero(g.ids == p * 10**15)[0]), total, met)
+    want = dependencies(edges, [0, 40])
+    assert {int(x) // 10**15 for x in g.ids[met]} == set(want)
+    assert all(abs(total[i] - want[int(x) // 10**15]) < 1e-9 for i, x in enumerate(g.ids) if met[i])
+
+
+def test_other_hashes_are_taken_if_two_nodes_share_one(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_short", lambda c, turn: F.ascii(F.substring(c, turn + 1, 1)).cast("bigint"))
+    path = spark.createDataFrame([("ka", "kb"), ("kb", "kc"), ("kc", "kd"), (None, "ka")], "src string, dst string")
+    got = {r["node"]: r["score"] for r in betweenness(path, spark.createDataFrame([("ka",), ("zz",)], "node string")).collect()}
+    assert got == {"kb": 2.0, "kc": 1.0, "kd": 0.0}
