@@ -312,10 +312,12 @@ def _betweenness_by_pivot(edges: DataFrame, pivots: DataFrame, depth: int | None
     start = [r["id"] for r in names.df.join(broadcast_if_small(few.df), "node").select("id").collect()]
     few.drop()
     table = edges.select(_short("src", turn).alias("a"), _short("dst", turn).alias("b")).toArrow()
-    g = kernels.Paths(table.column(0).to_numpy(), table.column(1).to_numpy())
+    a, b = (c.to_numpy() for c in table.columns)
+    del table
+    g = kernels.Paths(a, b)
     at = np.flatnonzero(np.isin(g.ids, np.array(start, np.int64)))
     paths = spark.sparkContext.broadcast(g)
-    del table, g
+    del a, b, g
     tasks = max(1, min(len(at), spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
